@@ -11,6 +11,7 @@ from ._spark import tables
 from .mixing import taken_words
 from .ngram_join import linked_components
 from .sharding import interleave
+from .suffix_dedup import dedup_digest
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,4 +27,8 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken_words(tables(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_sharding, op3_ngram_jaccard_join, op8_source_mixing)}
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_digest(tables(spark, sf_dir, "documents"), 400)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_sharding, op3_ngram_jaccard_join, op8_source_mixing, op10_suffix_array_dedup)}
