@@ -62,7 +62,7 @@ def forest(linked: np.ndarray) -> list[tuple[int, int]]:
 
 
 def links(sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
-    """sets (grp, id, weight, tokens: sorted distinct longs) -> rows (a, b, links).
+    """sets (grp, id, weight, tokens: sorted distinct longs; repeats of an id are alike) -> rows (a, b, links).
 
     Rows with a != b are links with |intersection| * denominator >= numerator *
     |union|, enough of them to connect what links connect; rows with a = b
@@ -76,6 +76,8 @@ def links(sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
     dealt = dealt.select("id", "weight", "tokens", F.col("__own").alias("blk"), "grp", F.least("__own", "__o").alias("i"), F.greatest("__own", "__o").alias("j"))
 
     def compare(t: pa.Table) -> pa.Table:
+        _, one = np.unique(t.column("id").to_numpy(), return_index=True)  # repeated rows have one set
+        t = t.take(pa.array(one))
         ids, weight, blk = (t.column(c).to_numpy() for c in ("id", "weight", "blk"))
         i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
         if len(ids) < 2:

@@ -6,9 +6,14 @@ every qualifying pair shares:
 * light sets (size up to a boundary) enumerate their subsets of each size that
   an intersection with a qualifying partner can have;
 * heavy sets are looked up in inverted lists.  A list holds the sets that agree
-  on a segment of the shingle space; among one segment more than shingles may
-  differ, some segment has no difference, so a qualifying pair shares a list.
-  (Lists of single shingles would be as long as a shared passage is frequent.)
+  on a segment of the shingle space.  With k shingles that may differ and
+  k + 1 + spare segments, a qualifying pair agrees on more than ``spare`` of
+  them.  Segments that hold frequent shingles only, or none, are weak: their
+  lists would be as long as a shared passage is frequent.  A set uses its weak
+  segments only if it has more than ``spare`` of them, so of every qualifying
+  pair both use one segment on which they agree.  What counts as frequent
+  comes from counts of all shingles in a fixed number of hashed bins; it moves
+  work, never results.
 
 The boundary is the size that makes the cost over the table's histogram of
 small sizes least: signatures emitted, plus exact checks that only lists need.
@@ -26,7 +31,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import ceil, comb
+from math import ceil, comb, exp, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +46,9 @@ from ._verify import links
 LIGHT_MOST = 32  # the boundary is sought up to this size
 CHECK_COST = 2.0  # of an exact check that a list may cause, in signatures
 GROWTH = 1.5  # of the size classes of heavy sets
+BIN_BITS = 20  # of the hashed bins in which shingles are counted
+BIN_SLICES = 64
+FREQUENT = 2.0  # times the mean count of a bin
 
 
 def overlap(s: int, t: int, num: int, den: int) -> int:
@@ -70,9 +78,19 @@ def class_top(i: int) -> int:
     return top
 
 
+def spare(i: int, num: int, den: int) -> int:
+    """Weak segments that a set of class i may ignore: what chance leaves empty, with room."""
+    n, bottom = int(2 * class_top(i) * (den - num) // (den + num)) + 1, class_top(i - 1) if i else 1
+    room = 2.0
+    for _ in range(4):
+        mean = (n + room) * exp(-bottom / (n + room))
+        room = min(n + 0.0, mean + 4 * sqrt(mean) + 2)
+    return ceil(room)
+
+
 def segments(i: int, num: int, den: int) -> int:
-    """Segments of size class i: one more than the shingles in which two qualifying sets of the class may differ."""
-    return int(2 * class_top(i) * (den - num) // (den + num)) + 1
+    """Segments of size class i: the shingles in which two qualifying sets of the class may differ, one more, and the spare ones."""
+    return int(2 * class_top(i) * (den - num) // (den + num)) + 1 + spare(i, num, den)
 
 
 def classes_of(s: int, num: int, den: int) -> range:
@@ -106,7 +124,7 @@ def _set_hashes(v: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def _signatures(v: np.ndarray, at: np.ndarray, x: int, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _signatures(v: np.ndarray, at: np.ndarray, x: int, num: int, den: int, frequent: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(document indexes, signatures) of the non-empty sets; sizes up to x enumerate, larger ones and their small partners use lists."""
     sizes = np.diff(at)
     for s in np.unique(sizes[(sizes > 0) & (sizes <= x)]).tolist():
@@ -116,6 +134,7 @@ def _signatures(v: np.ndarray, at: np.ndarray, x: int, num: int, den: int) -> It
             for pick in combinations(range(s), c):
                 yield docs, fmix(mixed[:, pick].sum(axis=1, dtype=np.uint64) + U64(c))
     kinds = {s: classes_of(s, num, den) for s in np.unique(sizes[(sizes > 0) & (den * sizes // num > x)]).tolist()}
+    rare = ~frequent[(v >> U64(64 - BIN_BITS)).astype(np.int64)]
     share, weight = fmix(v + U64(0x9FB21C651E98DF25)), fmix(v ^ U64(0xD6E8FEB86659FD93))
     for i in sorted({i for r in kinds.values() for i in r}):
         docs = np.flatnonzero(np.isin(sizes, [s for s, r in kinds.items() if i in r]))
@@ -123,10 +142,14 @@ def _signatures(v: np.ndarray, at: np.ndarray, x: int, num: int, den: int) -> It
         of = np.repeat(np.arange(len(docs)), sizes[docs])
         pos = np.arange(len(of)) - np.repeat(np.cumsum(sizes[docs]) - sizes[docs], sizes[docs]) + np.repeat(at[docs], sizes[docs])
         sums = np.zeros(len(docs) * n, np.uint64)
-        np.add.at(sums, (share[pos] % U64(n)).astype(np.int64) + of * n, weight[pos])
-        # a segment that is empty in both sets shows no difference either, so it counts
+        cell = (share[pos] % U64(n)).astype(np.int64) + of * n
+        np.add.at(sums, cell, weight[pos])
+        strong = np.zeros(len(docs) * n, bool)
+        strong[cell[rare[pos]]] = True
+        use = strong.reshape(len(docs), n)
+        use = (use | ((~use).sum(axis=1) > spare(i, num, den))[:, None]).ravel()
         salt = np.arange(1, n + 1, dtype=np.uint64) * U64(0x9E3779B97F4A7C15) + U64(i * 0xC2B2AE3D27D4EB4F % (1 << 64))
-        yield np.repeat(docs, n), fmix(sums + np.tile(salt, len(docs)))
+        yield np.repeat(docs, n)[use], fmix((sums + np.tile(salt, len(docs)))[use])
 
 
 def classes(docs: DataFrame, k: int) -> DataFrame:
@@ -147,15 +170,44 @@ def classes(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, n_shingles long, hi long, lo long")
 
 
+def frequent_bins(docs: DataFrame, k: int) -> np.ndarray:
+    """Which of the hashed bins hold frequent shingles, from the counts of every text; its size is fixed."""
+    width = (1 << BIN_BITS) // BIN_SLICES
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << BIN_BITS, np.int64)
+        for b in batches:
+            for c in chunks(b.column("text")):
+                v, _ = shingle_sets(c, k)
+                total += np.bincount((v >> U64(64 - BIN_BITS)).astype(np.int64), minlength=1 << BIN_BITS)
+        if total.any():
+            small = total.astype(np.uint16 if total.max() < 1 << 16 else np.int64)
+            yield pa.record_batch([pa.array(np.arange(BIN_SLICES, dtype=np.int32)), pa.array([small.itemsize] * BIN_SLICES, pa.int32()), pa.array([part.tobytes() for part in small.reshape(BIN_SLICES, width)])], names=["slice", "width", "counts"])
+
+    def add(t: pa.Table) -> pa.Table:
+        total = np.zeros(width, np.int64)
+        for w, c in zip(t.column("width").to_pylist(), t.column("counts").to_pylist(), strict=True):
+            total += np.frombuffer(c, np.uint16 if w == 2 else np.int64)
+        return pa.table([pa.array([t.column("slice")[0].as_py()], pa.int32()), pa.array([total.tobytes()])], names=["slice", "counts"])
+
+    counts = docs.select("text").mapInArrow(count, "slice int, width int, counts binary").groupBy("slice").applyInArrow(add, "slice int, counts binary")
+    total = np.zeros((BIN_SLICES, width), np.int64)
+    for r in counts.collect():
+        total[r["slice"]] = np.frombuffer(r.counts, np.int64)
+    return total.ravel() > max(8.0, FREQUENT * total.mean())
+
+
 def candidate_groups(docs: DataFrame, k: int, num: int, den: int, x: int) -> DataFrame:
     """(hi, grp): the sets, by the first half of their name, that share a list or subset with another, and their group."""
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(frequent_bins(docs, k)))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = np.unpackbits(shared.value).astype(bool)
         for b in batches:
             for c in chunks(b.column("text")):
                 v, at = shingle_sets(c, k)
                 hi, _ = _set_hashes(v, at)
-                found = list(_signatures(v, at, x, num, den))
+                found = list(_signatures(v, at, x, num, den, frequent))
                 if found:
                     sig = np.concatenate([s for _, s in found])
                     of = hi[np.concatenate([d for d, _ in found])]
@@ -173,18 +225,20 @@ def star_groups(members: DataFrame) -> DataFrame:
 
 
 def tokens(docs: DataFrame, k: int, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` and the sorted shingle set of each text as longs."""
+    """The columns ``keep`` and the sorted shingle set, as longs, of each text that has the set named by (hi, lo)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for c in chunks(b.column("text")):
                 v, at = shingle_sets(c, k)
                 part = b.slice(c.first, c.docs)
+                hi, lo = _set_hashes(v, at)
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.ascontiguousarray(signed(v))))
-                yield pa.record_batch([*[part.column(x) for x in keep], lists], names=[*keep, "tokens"])
+                named = (part.column("hi").to_numpy() == signed(hi)) & (part.column("lo").to_numpy() == signed(lo))
+                yield pa.record_batch([*[part.column(x) for x in keep], lists], names=[*keep, "tokens"]).filter(pa.array(named))
 
     kinds = ", ".join(f"{c} long" for c in keep)
-    return docs.select(*keep, "text").mapInArrow(scan, f"{kinds}, tokens array<long>")
+    return docs.select(*keep, "hi", "lo", "text").mapInArrow(scan, f"{kinds}, tokens array<long>")
 
 
 def linked_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -197,8 +251,8 @@ def linked_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100
     groups = candidate_groups(docs, k, num, den, x)
     wanted = cut(reps.join(groups, "hi").filter("rep is not null").select("rep", "hi", "lo", "weight", "grp"))
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted, "rep")
-    sets = tokens(texts, k, ["grp", "rep", "weight", "hi", "lo"]).select("grp", F.col("rep").alias("id"), "weight", "tokens")
-    found = cut(links(sets.dropDuplicates(["grp", "id"]), num, den))
+    sets = tokens(texts, k, ["grp", "rep", "weight"]).select("grp", F.col("rep").alias("id"), "weight", "tokens")
+    found = cut(links(sets, num, den))
     comp = connected_components(found.select("a", "b"))
     direct = found.filter("a = b").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("__links"))
     by_rep = reps.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").join(direct, "rep", "left")
