@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._spark import tables
+from .decontam import digest
 from .mixing import taken_words
 from .ngram_join import linked_components
 from .sharding import interleave
@@ -23,6 +24,10 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked_components(tables(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "benchmark"))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken_words(tables(spark, sf_dir, "documents"))
 
@@ -31,4 +36,4 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_digest(tables(spark, sf_dir, "documents"), 400)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_sharding, op3_ngram_jaccard_join, op8_source_mixing, op10_suffix_array_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_sharding, op3_ngram_jaccard_join, op5_benchmark_decontamination, op8_source_mixing, op10_suffix_array_dedup)}
