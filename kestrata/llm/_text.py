@@ -134,32 +134,35 @@ def alnum_spans(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def shingle_sets(c: Chunk, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct k-word shingles of each document, sorted, as one array and the offsets of the documents.
+    """Distinct k-word shingles of each document, sorted, as one array and the offsets of the documents."""
+    return shingles_of(*words(c), k)
 
-    A document of 1 to k-1 words has its whole sequence as only shingle; one without words has none.
+
+def shingles_of(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct k-word shingles of each text h[first[d]:first[d+1]] of word hashes.
+
+    A text of 1 to k-1 words has its whole sequence as only shingle; one without words has none.
     """
-    h, first = words(c)
     n = np.diff(first)
     if not len(h):
-        return h, np.zeros(c.docs + 1, np.int64)
+        return h, np.zeros(len(n) + 1, np.int64)
     rolled = np.zeros(len(h), np.uint64)
     for j in range(k):
         rolled[: len(h) - j] += h[j:] * U64(pow(0x9FB21C651E98DF25, j + 1, 1 << 64))
     rolled = fmix(rolled)
     count = np.where(n >= k, n - k + 1, np.minimum(n, 1))
-    doc = np.repeat(np.arange(c.docs), count)
+    doc = np.repeat(np.arange(len(n)), count)
     at = np.concatenate([[0], np.cumsum(count)])
     pos = np.arange(at[-1]) - at[doc] + first[doc]
     v = rolled[pos]
     for d in np.flatnonzero((n > 0) & (n < k)):  # the whole short sequence, marked by its length
         x = sum(int(h[first[d] + j]) * pow(0x9FB21C651E98DF25, j + 1, 1 << 64) for j in range(n[d])) + int(n[d]) * 0x632BE59BD9B4E019
         v[at[d]] = fmix(np.array([x % (1 << 64)], np.uint64))[0]
-    for d in range(c.docs):
-        v[at[d] : at[d + 1]].sort()
+    for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        v[i:j].sort()
     new = np.ones(len(v), bool)
     new[1:] = v[1:] != v[:-1]
-    starts = at[:-1][count > 0]
-    new[starts] = True
+    new[at[:-1][count > 0]] = True
     kept = np.concatenate([[0], np.cumsum(new)])
     return v[new], kept[at]
 

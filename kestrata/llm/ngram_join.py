@@ -217,10 +217,28 @@ def candidate_groups(docs: DataFrame, k: int, num: int, den: int, x: int) -> Dat
     return star_groups(sig)
 
 
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (sig, hi) sorted, an edge from each list's first hi to every other; remembers one row."""
+    last, centre = None, 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        sig, hi = b.column("sig").to_numpy(), b.column("hi").to_numpy()
+        new = np.concatenate([[last is None or sig[0] != last], sig[1:] != sig[:-1]])
+        begin = np.maximum.accumulate(np.where(new, np.arange(len(sig)), -1))
+        of = np.where(begin < 0, centre, hi[np.maximum(begin, 0)])
+        last, centre = sig[-1], of[-1]
+        edge = np.unique(np.stack([of, hi])[:, of != hi], axis=1)
+        if edge.shape[1]:
+            yield pa.record_batch([pa.array(edge[0]), pa.array(edge[1])], names=["a", "b"])
+
+
 def star_groups(members: DataFrame) -> DataFrame:
-    """members (sig, hi) -> (hi, grp) of those that share a sig with another hi; groups are the components."""
-    centre = members.groupBy("sig").agg(F.min("hi").alias("a"), F.max("hi").alias("top")).filter("a != top").select("sig", "a")
-    edges = members.join(centre, "sig").filter("hi != a").select("a", F.col("hi").alias("b")).distinct()
+    """members (sig, hi) -> (hi, grp) of those that share a sig with another hi; groups are the components.
+
+    One shuffle by list; a list is read in order and never held.
+    """
+    edges = members.repartition("sig").sortWithinPartitions("sig", "hi").mapInArrow(_stars, "a long, b long").distinct()
     return connected_components(edges).select(F.col("node").alias("hi"), F.col("component").alias("grp"))
 
 
