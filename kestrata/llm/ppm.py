@@ -194,6 +194,8 @@ class Trie:
         for level in self.levels:
             for name in ("total", "distinct", "raw"):
                 del level[name]
+            for name in ("count", "top", "escape", "low", "low_escape"):
+                level[name] = level[name].astype(np.float32)
 
     def log10(self, keys: np.ndarray) -> np.ndarray:
         out, found = self.table.get(keys)
@@ -253,9 +255,7 @@ def scores(docs: DataFrame, train: DataFrame, slice_grams: int = SLICE_GRAMS) ->
             g = g.withColumn("pair", pair).join(pairs, "pair", "left").filter(F.coalesce("slice", F.lit(0)) == i)
         own = g.select("key", "n").toArrow() if i < gram_slices else None
         w = model.filter("kind = 1").filter(F.pmod(F.xxhash64("key"), F.lit(word_slices)) == i).select("key", "n").toArrow() if i < word_slices else None
-        trie = Trie(own.column("key").to_numpy().view(np.uint64), own.column("n").to_numpy(), low_keys, low_n) if own is not None else None
-        table = HashTable(w.column("key").to_numpy().view(np.uint64), np.log10(w.column("n").to_numpy() + 1.0)) if w is not None else None
-        shared = spark.sparkContext.broadcast((trie, table, where if gram_slices > 1 else None, i))
+        shared = spark.sparkContext.broadcast((_compact(own), (low_keys, low_n), _compact(w), where if gram_slices > 1 else None, i))
         parts.append(_pass(docs, shared))
     every = parts[0]
     for p in parts[1:]:
@@ -266,9 +266,30 @@ def scores(docs: DataFrame, train: DataFrame, slice_grams: int = SLICE_GRAMS) ->
     return every.select("doc_id", "n_tokens", F.col("n_known").cast("long").alias("n_known"), F.lit(int(n)).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 
 
+def _compact(t: pa.Table | None) -> tuple[np.ndarray, np.ndarray] | None:
+    """Keys and counts as they travel; the tables over them are several times larger and built where they are used."""
+    if t is None:
+        return None
+    n = t.column("n").to_numpy()
+    return t.column("key").to_numpy().view(np.uint64), n.astype(np.uint32) if not len(n) or n.max() < 1 << 32 else n
+
+
+_built: list = [None, None]
+
+
+def _tables(shared):
+    """Trie and word table of a broadcast slice, kept for the tasks of this worker."""
+    if _built[0] is not shared.value:
+        own, low, w, _, _ = shared.value
+        trie = Trie(own[0], own[1].astype(np.int64), *low) if own is not None else None
+        table = HashTable(w[0], np.log10(w[1] + 1.0)) if w is not None else None
+        _built[:] = [shared.value, (trie, table)]
+    return _built[1]
+
+
 def _pass(docs: DataFrame, shared) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, table, where, i = shared.value
+        (trie, table), (*_, where, i) = _tables(shared), shared.value
         for b in batches:
             out = []
             for c in chunks(b.column("text")):
