@@ -153,7 +153,7 @@ def _signatures(v: np.ndarray, at: np.ndarray, x: int, num: int, den: int, frequ
 
 
 def classes(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles and the set's 128-bit name (hi, lo) of every row."""
+    """doc_id, text_hash, n_shingles and the set's 128-bit name (hi, lo) of every row."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -165,9 +165,10 @@ def classes(docs: DataFrame, k: int) -> DataFrame:
                 hi.append(signed(x))
                 lo.append(signed(y))
             if n:
-                yield pa.record_batch([b.column("doc_id").cast(pa.int64()), pa.array(np.concatenate(n)), pa.array(np.concatenate(hi)), pa.array(np.concatenate(lo))], names=["doc_id", "n_shingles", "hi", "lo"])
+                yield pa.record_batch([b.column("doc_id"), b.column("text_hash"), pa.array(np.concatenate(n)), pa.array(np.concatenate(hi)), pa.array(np.concatenate(lo))], names=["doc_id", "text_hash", "n_shingles", "hi", "lo"])
 
-    return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, n_shingles long, hi long, lo long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    return rows.mapInArrow(scan, "doc_id long, text_hash long, n_shingles long, hi long, lo long")
 
 
 def frequent_bins(docs: DataFrame, k: int) -> np.ndarray:
@@ -260,7 +261,7 @@ def tokens(docs: DataFrame, k: int, keep: list[str]) -> DataFrame:
 
 
 def linked_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id (least doc_id reachable by links) and n_links (rows linked directly) of every row."""
+    """doc_id, n_shingles, component_id (least doc_id reachable by links), n_links (rows linked directly) and text_hash of every row."""
     rows = cut(classes(docs, k))
     reps = rows.filter("n_shingles > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"), F.first("n_shingles").alias("n"))
     reps = cut(reps)
@@ -282,4 +283,22 @@ def linked_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100
         "n_shingles",
         F.when(alone, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"),
         F.when(alone, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"),
+        "text_hash",
     )
+
+
+def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The documents with one of each group of near duplicates, that of the least doc_id, in the columns they came with.
+
+    Of rows that repeat that document one stays; documents without words, and rows without an id, all stay.
+    """
+    rows = cut(linked_components(docs, k, num, den))
+    grouped = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    stays = rows.filter(grouped & (F.col("doc_id") == F.col("component_id"))).groupBy("component_id").agg(F.min("text_hash").alias("__th"), F.count("*").alias("__copies"))
+    alone = rows.filter(~grouped).select("doc_id", F.col("text_hash").alias("__th")).distinct()
+    stays = stays.select(F.col("component_id").alias("__id"), "__th", "__copies").unionByName(alone.select(F.col("doc_id").alias("__id"), "__th", F.lit(1).cast("long").alias("__copies")))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64("text").alias("th"))
+    kept = packed.join(stays, (F.col("row.doc_id").cast("long").eqNullSafe(F.col("__id"))) & (F.col("th") == F.col("__th")))
+    # only where an id is known to come twice do rows have to meet
+    once = kept.filter("__copies = 1").unionByName(kept.filter("__copies > 1").dropDuplicates(["__id", "__th"]))
+    return once.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ppm
+from . import pii, ppm
 from ._spark import tables
 from .decontam import digest
 from .mixing import taken_words
@@ -40,6 +40,10 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return digest(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "benchmark"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(tables(spark, sf_dir, "documents"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_paragraphs(tables(spark, sf_dir, "documents"), k=5, num=80, den=100)
 
@@ -60,4 +64,4 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_digest(tables(spark, sf_dir, "documents"), 400)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_sharding, op3_ngram_jaccard_join, op4_exact_top_k, op5_benchmark_decontamination, op7_substring_dedup, op8_source_mixing, op9_lm_scoring, op10_suffix_array_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_sharding, op3_ngram_jaccard_join, op4_exact_top_k, op5_benchmark_decontamination, op6_pii, op7_substring_dedup, op8_source_mixing, op9_lm_scoring, op10_suffix_array_dedup)}
