@@ -36,7 +36,7 @@ END = 257  # bytes are 1..256; 0 stands before the text
 SYMBOLS = 257
 BITS = 9
 SLICE_GRAMS = 6_000_000
-HOLD = 4_000_000
+HOLD = 2_000_000
 END_WORD = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -100,12 +100,12 @@ def counts(docs: DataFrame) -> DataFrame:
 
 
 class HashTable:
-    """Open addressing over 64-bit keys; ``get`` answers arrays of keys at once."""
+    """Open addressing over 64-bit keys, two thirds full; ``get`` answers arrays of keys at once."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
-        self.bits = max(4, int(2 * max(1, len(keys)) - 1).bit_length())
-        self.keys = np.full(1 << self.bits, ~U64(0))
-        self.values = np.zeros(1 << self.bits, values.dtype)
+        self.size = max(16, len(keys) + len(keys) // 2)
+        self.keys = np.full(self.size, ~U64(0))
+        self.values = np.zeros(self.size, values.dtype)
         todo, slot = np.arange(len(keys)), self._slot(keys)
         while len(todo):
             free = self.keys[slot] == ~U64(0)
@@ -115,13 +115,14 @@ class HashTable:
             self.values[slot[put]] = values[todo[put]]
             rest = np.ones(len(todo), bool)
             rest[put] = False
-            todo, slot = todo[rest], (slot[rest] + 1) & ((1 << self.bits) - 1)
+            todo, slot = todo[rest], (slot[rest] + 1) % self.size
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys * U64(0x9E3779B97F4A7C15)) >> U64(64 - self.bits)).astype(np.int64)
+        h = (keys ^ (keys >> U64(29))) * U64(0x9E3779B97F4A7C15)
+        return (((h >> U64(32)) * U64(self.size)) >> U64(32)).astype(np.int64)
 
     def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Values, and which keys are present."""
+        """Values (0 where absent), and which keys are present."""
         slot = self._slot(keys)
         there = self.keys[slot]
         found = there == keys
@@ -129,7 +130,7 @@ class HashTable:
         todo = np.flatnonzero(~found & (there != ~U64(0)))
         slot = slot[todo]
         while len(todo):
-            slot = (slot + 1) & ((1 << self.bits) - 1)
+            slot = (slot + 1) % self.size
             there = self.keys[slot]
             hit = there == keys[todo]
             found[todo[hit]] = True
@@ -196,6 +197,8 @@ class Trie:
                 del level[name]
             for name in ("count", "top", "escape", "low", "low_escape"):
                 level[name] = level[name].astype(np.float32)
+        for name in ("grams", "count", "top"):  # the hash table has them
+            self.levels[-1][name] = self.levels[-1][name][:0]
 
     def log10(self, keys: np.ndarray) -> np.ndarray:
         out, found = self.table.get(keys)
@@ -213,8 +216,10 @@ class Trie:
             above = self.levels[order + 1] if order < ORDER else level
             at = np.maximum(child, 0)
             low, low_escape = (above["low"][at], above["low_escape"][at]) if len(above["low"]) else (np.zeros(len(at)), np.zeros(len(at)))
-            if len(level["grams"]):
-                acc += np.where(hit, np.where(lower, level["count"][gram] - low, level["top"][gram]), np.where(lower, low_escape, np.where(known, level["escape"][ctx], 0.0)))
+            if len(level["ctx"]):
+                gram = gram if len(level["grams"]) else gram[:0]
+                count, top = (level["count"][gram], level["top"][gram]) if len(gram) else (0.0, 0.0)
+                acc += np.where(hit, np.where(lower, count - low, top), np.where(lower, low_escape, np.where(known, level["escape"][ctx], 0.0)))
             done = hit
             out[todo[done]] = acc[done]
             child = np.where(known, ctx, child)[~done]
@@ -255,7 +260,7 @@ def scores(docs: DataFrame, train: DataFrame, slice_grams: int = SLICE_GRAMS) ->
             g = g.withColumn("pair", pair).join(pairs, "pair", "left").filter(F.coalesce("slice", F.lit(0)) == i)
         own = g.select("key", "n").toArrow() if i < gram_slices else None
         w = model.filter("kind = 1").filter(F.pmod(F.xxhash64("key"), F.lit(word_slices)) == i).select("key", "n").toArrow() if i < word_slices else None
-        shared = spark.sparkContext.broadcast((_compact(own), (low_keys, low_n), _compact(w), where if gram_slices > 1 else None, i))
+        shared = spark.sparkContext.broadcast([_compact(own), (low_keys, low_n), _compact(w), where if gram_slices > 1 else None, i, passes])
         parts.append(_pass(docs, shared))
     every = parts[0]
     for p in parts[1:]:
@@ -280,16 +285,19 @@ _built: list = [None, None]
 def _tables(shared):
     """Trie and word table of a broadcast slice, kept for the tasks of this worker."""
     if _built[0] is not shared.value:
-        own, low, w, _, _ = shared.value
+        own, low, w, *_, passes = shared.value
+        _built[:] = [None, None]
         trie = Trie(own[0], own[1].astype(np.int64), *low) if own is not None else None
-        table = HashTable(w[0], np.log10(w[1] + 1.0)) if w is not None else None
+        table = HashTable(*w) if w is not None else None
         _built[:] = [shared.value, (trie, table)]
+        if passes == 1:  # with more, tasks of another slice may come between, and build these again
+            shared.value[0] = shared.value[2] = None
     return _built[1]
 
 
 def _pass(docs: DataFrame, shared) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (trie, table), (*_, where, i) = _tables(shared), shared.value
+        (trie, table), (*_, where, i, _) = _tables(shared), shared.value
         for b in batches:
             out = []
             for c in chunks(b.column("text")):
@@ -309,7 +317,7 @@ def _pass(docs: DataFrame, shared) -> DataFrame:
                 tokens[is_end], tokens[~is_end] = END_WORD, h
                 if table is not None:
                     values, found = table.get(tokens)
-                    logs, known = values.astype(np.float64), found.astype(np.int64)
+                    logs, known = np.log10(values + 1.0), found.astype(np.int64)
                 out.append((np.diff(at), np.add.reduceat(known, at[:-1]), np.add.reduceat(logs, at[:-1]), np.add.reduceat(lp, first[:-1])))
             if out:
                 n, k, l, s = (np.concatenate(x) for x in zip(*out, strict=True))
