@@ -70,7 +70,7 @@ def _anchors(c: Chunk, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray,
 
 
 def _contexts(c: Chunk, length: int) -> dict[str, np.ndarray]:
-    """Contexts of a chunk: document, first and last start (within the chunk), key and name."""
+    """Contexts of a chunk: document, first and last start (within the chunk), key and name; ``n`` equal ones in a row, the last of which ends at start ``to``."""
     p, lo, hi, h = _anchors(c, length)
     side = (length - GRAM) // 2
     out = []
@@ -82,13 +82,17 @@ def _contexts(c: Chunk, length: int) -> dict[str, np.ndarray]:
         core = (q - side, q + GRAM) if left else (q, q + GRAM + side)
         key = fmix(hash_ranges(h, *core) + U64(1 + left))
         name = fmix(hash_ranges(h, a, b + length) ^ fmix(((q - a) * (1 << 32) + (b - a) * 2 + left).astype(np.uint64)))
-        out.append((a, b, key, name))
-    a, b, key, name = (np.concatenate(x) for x in zip(*out, strict=True))
-    return {"doc": np.searchsorted(c.at, a, "right") - 1, "lo": a, "hi": b, "key": key, "name": name}
+        # periodic text repeats one context from period to period: one row stands for such a run
+        doc = np.searchsorted(c.at, a, "right") - 1
+        new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (name[1:] != name[:-1]) | (doc[1:] != doc[:-1]) | (a[1:] > b[:-1] + length)])) if len(a) else np.zeros(0, np.int64)
+        last = np.append(new[1:], len(a)) - 1
+        out.append((doc[new], a[new], b[new], b[last], last - new + 1, key[new], name[new]))
+    doc, a, b, to, n, key, name = (np.concatenate(x) for x in zip(*out, strict=True))
+    return {"doc": doc, "lo": a, "hi": b, "to": to, "n": n, "key": key, "name": name}
 
 
-_ROW = "key long, name long, doc_id long, th long, lo int, hi int"
-_NAMES = ["key", "name", "doc_id", "th", "lo", "hi"]
+_ROW = "key long, name long, doc_id long, th long, lo int, hi int, to int, n int"
+_NAMES = ["key", "name", "doc_id", "th", "lo", "hi", "to", "n"]
 
 
 def _scan(length: int):
@@ -100,7 +104,7 @@ def _scan(length: int):
                 if len(x["key"]):
                     at = pa.array(x["doc"] + c.first)
                     base = c.at[x["doc"]]
-                    yield pa.record_batch([pa.array(signed(x["key"])), pa.array(signed(x["name"])), ids.take(at), th.take(at), pa.array((x["lo"] - base).astype(np.int32)), pa.array((x["hi"] - base).astype(np.int32))], names=_NAMES)
+                    yield pa.record_batch([pa.array(signed(x["key"])), pa.array(signed(x["name"])), ids.take(at), th.take(at), *[pa.array((x[f] - base).astype(np.int32)) for f in ("lo", "hi", "to")], pa.array(x["n"].astype(np.int32))], names=_NAMES)
 
     return run
 
@@ -114,7 +118,7 @@ def _repeated_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         t = pa.Table.from_batches([b] if held is None else [held, b]).combine_chunks()
         k = t.column("key").to_numpy()
         same = k[1:] == k[:-1]
-        dup = np.zeros(len(k), bool)
+        dup = t.column("n").to_numpy() > 1
         dup[1:] |= same
         dup[:-1] |= same
         dup[0] |= known
@@ -236,10 +240,10 @@ def repeated_spans(docs: DataFrame, length: int = 400, batch_bytes: int = BATCH_
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text").filter(F.octet_length("text") >= length)
     rows = docs.mapInArrow(_scan(length), _ROW).repartition("key").sortWithinPartitions("key").mapInArrow(_repeated_keys, _ROW)
     rows = cut(rows)
-    named = rows.groupBy("key", "name").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "lo", "hi")).alias("one"))
+    named = rows.groupBy("key", "name").agg(F.sum("n").alias("n"), F.min(F.struct("doc_id", "th", "lo", "hi")).alias("one"))
     named = cut(named)
     several = named.groupBy("key").agg(F.count("*").alias("m"), F.min("n").alias("least")).filter("m > 1 and least = 1").select("key")
-    whole = rows.join(named.filter("n > 1").select("key", "name"), ["key", "name"]).select("doc_id", "th", F.col("lo").cast("long").alias("start"), (F.col("hi") + length).cast("long").alias("stop"))
+    whole = rows.join(named.filter("n > 1").select("key", "name"), ["key", "name"]).select("doc_id", "th", F.col("lo").cast("long").alias("start"), (F.col("to") + length).cast("long").alias("stop"))
     reps = named.join(several, "key").select("one.doc_id", "one.th", F.struct("key", "one.lo", "one.hi", "n").alias("w"))
     wanted = reps.groupBy("doc_id", "th").agg(F.collect_list("w").alias("wanted"))
     parts = docs.join(wanted, _same_row(docs, wanted)).select(docs["doc_id"], docs["th"], "wanted", "text")
