@@ -37,3 +37,8 @@ def seeded(seed: int, *ids: Column) -> Column:
 
 def tables(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def hinted(df: DataFrame, most: int) -> DataFrame:
+    """``df``, a checkpointed side of a join, to be broadcast if it has at most ``most`` rows; else the join shuffles."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

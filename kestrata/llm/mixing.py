@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import WORD, cut, seeded, stratum
+from ._spark import WORD, cut, hinted, seeded, stratum
 
 BLOCK = 32
 OUT_SHARDS = 64
@@ -143,12 +143,7 @@ def taken_words(docs: DataFrame, seed: int = 29) -> DataFrame:
     uses = slots.groupBy("stratum", "block").agg(F.count("*").alias("uses"))
     taken = _pieces(rows).join(uses, ["stratum", "block"], "left").groupBy("doc_id", "stratum", "start", "size").agg(F.coalesce(F.sum(F.col("words") * F.col("uses")), F.lit(0)).alias("taken"))
     every = taken.drop("start").unionByName(rows.filter("size = 0").select("doc_id", "stratum", "size", F.lit(0).cast("long").alias("taken")))
-    return every.join(F.broadcast(quotas.select("stratum", "source_size", "target")) if _few(quotas) else quotas.select("stratum", "source_size", "target"), "stratum").select("doc_id", "size", "source_size", "target", F.col("taken").cast("long"))
-
-
-def _few(quotas: DataFrame, most: int = 100_000) -> bool:
-    """Whether the table of sources is small enough to broadcast; beyond that the join shuffles."""
-    return quotas.limit(most + 1).count() <= most
+    return every.join(hinted(quotas.select("stratum", "source_size", "target"), 100_000), "stratum").select("doc_id", "size", "source_size", "target", F.col("taken").cast("long"))
 
 
 def mixed_documents(docs: DataFrame, seed: int = 29) -> DataFrame:

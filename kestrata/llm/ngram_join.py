@@ -39,12 +39,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._graph import connected_components
-from ._spark import cut
+from ._spark import cut, hinted
 from ._text import U64, chunks, fmix, shingle_sets, signed
 from ._verify import links
 
 LIGHT_MOST = 32  # the boundary is sought up to this size
 CHECK_COST = 2.0  # of an exact check that a list may cause, in signatures
+BROADCAST_ROWS = 500_000  # of ids, a few dozen bytes each, that may go to every task instead of shuffling all texts
 GROWTH = 1.5  # of the size classes of heavy sets
 BIN_BITS = 20  # of the hashed bins in which shingles are counted
 BIN_SLICES = 64
@@ -269,7 +270,7 @@ def linked_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100
     x = boundary(histogram, num, den)
     groups = candidate_groups(docs, k, num, den, x)
     wanted = cut(reps.join(groups, "hi").filter("rep is not null").select("rep", "hi", "lo", "weight", "grp"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted, "rep")
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(hinted(wanted, BROADCAST_ROWS), "rep")
     sets = tokens(texts, k, ["grp", "rep", "weight"]).select("grp", F.col("rep").alias("id"), "weight", "tokens")
     found = cut(links(sets, num, den))
     comp = connected_components(found.select("a", "b"))
@@ -297,6 +298,7 @@ def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> D
     stays = rows.filter(grouped & (F.col("doc_id") == F.col("component_id"))).groupBy("component_id").agg(F.min("text_hash").alias("__th"), F.count("*").alias("__copies"))
     alone = rows.filter(~grouped).select("doc_id", F.col("text_hash").alias("__th")).distinct()
     stays = stays.select(F.col("component_id").alias("__id"), "__th", "__copies").unionByName(alone.select(F.col("doc_id").alias("__id"), "__th", F.lit(1).cast("long").alias("__copies")))
+    stays = hinted(cut(stays), BROADCAST_ROWS)
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64("text").alias("th"))
     kept = packed.join(stays, (F.col("row.doc_id").cast("long").eqNullSafe(F.col("__id"))) & (F.col("th") == F.col("__th")))
     # only where an id is known to come twice do rows have to meet
