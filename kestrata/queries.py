@@ -90,14 +90,14 @@ def _beyond_sql(op: str, at: dict) -> str:
 _IN_RANGE = f"{_beyond_sql('<', _RANGE_HI)} AND {_beyond_sql('>', _RANGE_LO)}"
 
 
-@query(f"SELECT {_L}, row_number() OVER (ORDER BY l_orderkey DESC, l_partkey DESC, l_suppkey DESC, l_linenumber DESC) AS rn FROM lineitem WHERE {_IN_RANGE}")
+@query(f"SELECT {_L}, row_number() OVER (ORDER BY l_orderkey DESC, l_partkey DESC, l_suppkey DESC, l_linenumber DESC, l_quantity DESC) AS rn FROM lineitem WHERE {_IN_RANGE}")
 def range_full_desc(spark, sf_dir):
-    return with_rank(reads.read_range(_t(spark, sf_dir, "lineitem", _L), LINES, _RANGE_HI, _RANGE_LO), LINES.key, LINES.comparator)
+    return with_rank(reads.read_range(_t(spark, sf_dir, "lineitem", _L), LINES, _RANGE_HI, _RANGE_LO), [*LINES.key, "l_quantity"], LINES.comparator)
 
 
-@query(f"SELECT {_L}, row_number() OVER (ORDER BY {_LK}) AS rn FROM lineitem WHERE {_IN_RANGE}")
+@query(f"SELECT {_L}, row_number() OVER (ORDER BY {_LK}, l_quantity) AS rn FROM lineitem WHERE {_IN_RANGE}")
 def range_full_asc(spark, sf_dir):
-    return with_rank(reads.read_range(_t(spark, sf_dir, "lineitem", _L), LINES_UP, _RANGE_LO, _RANGE_HI), LINES.key, ASCENDING)
+    return with_rank(reads.read_range(_t(spark, sf_dir, "lineitem", _L), LINES_UP, _RANGE_LO, _RANGE_HI), [*LINES.key, "l_quantity"], ASCENDING)
 
 
 _SHARD = "('0x' || substr(sha256(o_orderkey::VARCHAR), 1, 8))::BIGINT % 16"
