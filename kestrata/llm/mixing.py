@@ -146,6 +146,16 @@ def taken_words(docs: DataFrame, seed: int = 29) -> DataFrame:
     return every.join(hinted(quotas.select("stratum", "source_size", "target"), 100_000), "stratum").select("doc_id", "size", "source_size", "target", F.col("taken").cast("long"))
 
 
+@F.pandas_udf("string")
+def _joined(text: pd.Series, starts: pd.Series, counts: pd.Series) -> pd.Series:
+    """The words of a text in the given ranges; each text is split once."""
+    out = []
+    for t, lo, n in zip(text, starts, counts, strict=True):
+        w = t.encode().split() if t is not None else []
+        out.append(b" ".join(x for i, k in zip(lo, n, strict=True) for x in w[i : i + k]).decode() if t is not None else None)
+    return pd.Series(out)
+
+
 def mixed_documents(docs: DataFrame, seed: int = 29) -> DataFrame:
     """The mix as documents: for each pass that takes any of its blocks, a row with the words taken.
 
@@ -159,9 +169,9 @@ def mixed_documents(docs: DataFrame, seed: int = 29) -> DataFrame:
     pieces = _pieces(starts)
     takes = pieces.join(slots.drop("out_shard"), ["stratum", "block"]).groupBy("stratum", "start", "pass").agg(F.sort_array(F.collect_list(F.struct("from", "words"))).alias("parts"), F.sum("words").alias("got"))
     out = rows.filter("size > 0").join(takes, ["stratum", "start"])
-    split = F.filter(F.split(F.col("row.text"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    some = F.array_join(F.flatten(F.transform("parts", lambda p: F.slice(split, (p["from"] + 1).cast("int"), p["words"].cast("int")))), " ")
-    text = F.when(F.col("got") == F.col("size"), F.col("row.text")).otherwise(some)
+    whole = F.col("got") == F.col("size")
+    some = _joined(F.when(~whole, F.col("row.text")), F.col("parts.from"), F.col("parts.words"))
+    text = F.when(whole, F.col("row.text")).otherwise(some)
     out = out.withColumn("__text", text)
     length = {"n_chars": F.when(F.col("row.n_chars").isNotNull(), F.length("__text")).cast("long")} if "n_chars" in names else {}
     return out.select(*[F.col("__text").alias(c) if c == "text" else length[c].alias(c) if c in length else F.col(f"row.`{c}`").alias(c) for c in names])
