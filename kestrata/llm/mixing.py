@@ -146,7 +146,6 @@ def taken_words(docs: DataFrame, seed: int = 29) -> DataFrame:
     return every.join(hinted(quotas.select("stratum", "source_size", "target"), 100_000), "stratum").select("doc_id", "size", "source_size", "target", F.col("taken").cast("long"))
 
 
-@F.pandas_udf("string")
 def _joined(text: pd.Series, starts: pd.Series, counts: pd.Series) -> pd.Series:
     """The words of a text in the given ranges; each text is split once."""
     out = []
@@ -170,7 +169,7 @@ def mixed_documents(docs: DataFrame, seed: int = 29) -> DataFrame:
     takes = pieces.join(slots.drop("out_shard"), ["stratum", "block"]).groupBy("stratum", "start", "pass").agg(F.sort_array(F.collect_list(F.struct("from", "words"))).alias("parts"), F.sum("words").alias("got"))
     out = rows.filter("size > 0").join(takes, ["stratum", "start"])
     whole = F.col("got") == F.col("size")
-    some = _joined(F.when(~whole, F.col("row.text")), F.col("parts.from"), F.col("parts.words"))
+    some = F.pandas_udf(_joined, "string")(F.when(~whole, F.col("row.text")), F.col("parts.from"), F.col("parts.words"))
     text = F.when(whole, F.col("row.text")).otherwise(some)
     out = out.withColumn("__text", text)
     length = {"n_chars": F.when(F.col("row.n_chars").isNotNull(), F.length("__text")).cast("long")} if "n_chars" in names else {}
