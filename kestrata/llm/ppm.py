@@ -37,6 +37,7 @@ SYMBOLS = 257
 BITS = 9
 SLICE_GRAMS = 6_000_000
 HOLD = 2_000_000
+CHUNK = 1 << 18  # bytes of text looked up at once; every byte takes some hundred bytes meanwhile
 END_WORD = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -61,6 +62,9 @@ def grams(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
     return key[mine], np.concatenate([[0], np.cumsum(np.diff(c.at) + 1)])
 
 
+_built: list = [None, None]  # a broadcast slice and the tables over it, kept for the tasks of this worker
+
+
 class Tally:
     """Counts of 64-bit keys, merged whenever enough new ones are held."""
 
@@ -85,9 +89,10 @@ def counts(docs: DataFrame) -> DataFrame:
     """kind (0 byte grams, 1 words), key and n over all the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _built[:] = [None, None]  # of an earlier run in this worker
         tallies = (Tally(), Tally())
         for b in batches:
-            for c in chunks(b.column("text")):
+            for c in chunks(b.column("text"), CHUNK):
                 tallies[0].add(grams(c)[0])
                 tallies[1].add(np.concatenate([words(c)[0], np.full(c.docs, END_WORD)]))
         for kind, t in enumerate(tallies):
@@ -279,11 +284,8 @@ def _compact(t: pa.Table | None) -> tuple[np.ndarray, np.ndarray] | None:
     return t.column("key").to_numpy().view(np.uint64), n.astype(np.uint32) if not len(n) or n.max() < 1 << 32 else n
 
 
-_built: list = [None, None]
-
-
 def _tables(shared):
-    """Trie and word table of a broadcast slice, kept for the tasks of this worker."""
+    """Trie and word table of a broadcast slice."""
     if _built[0] is not shared.value:
         own, low, w, *_, passes = shared.value
         _built[:] = [None, None]
@@ -300,7 +302,7 @@ def _pass(docs: DataFrame, shared) -> DataFrame:
         (trie, table), (*_, where, i, _) = _tables(shared), shared.value
         for b in batches:
             out = []
-            for c in chunks(b.column("text")):
+            for c in chunks(b.column("text"), CHUNK):
                 key, first = grams(c)
                 lp = np.zeros(len(key))
                 if trie is not None and where is None:
