@@ -29,7 +29,7 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linked_components(tables(spark, sf_dir, "documents"), k=3, num=90, den=100)
+    return linked_components(tables(spark, sf_dir, "documents"), k=3, num=90, den=100).drop("text_hash")
 
 
 def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
