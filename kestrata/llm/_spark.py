@@ -10,8 +10,19 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches hold some megabytes of text rather than ten thousand whole texts, unless the session says otherwise."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder that the cluster names; one of our own only where it names none, as in tests."""
+    small_batches(spark)
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kestrata-"))
@@ -36,6 +47,7 @@ def seeded(seed: int, *ids: Column) -> Column:
 
 
 def tables(spark, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._fm import FMIndex
+from ._spark import small_batches
 from ._text import alnum_spans, chunks, hash_ranges
 
 WINDOW = 8
@@ -135,8 +136,13 @@ def find(column: pa.Array, b: Phrases) -> tuple[np.ndarray, list[list[dict]], li
     return total, spans, [sorted(x) for x in items]
 
 
-def _scan(shared):
+def _scan(shared, then=iter):
+    """A pass of one block of phrases; ``then`` goes on with its batches in the same worker."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from then(find_all(batches))
+
+    def find_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = shared.value
         for b in batches:
             n, spans, items = find(b.column("text"), phrases)
@@ -151,9 +157,13 @@ def _scan(shared):
     return run
 
 
-def located(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs with __words (their number), __spans (removal spans by words and bytes) and __items (occurring items)."""
+def located(docs: DataFrame, benchmark: DataFrame, then=iter, schema=None, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs with __words (their number), __spans (removal spans by words and bytes) and __items (occurring items).
+
+    With ``then`` and its ``schema``, the last pass hands its batches on to that function.
+    """
     spark = docs.sparkSession
+    small_batches(spark)
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-size // block_bytes) or 1
@@ -161,7 +171,8 @@ def located(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_b
     for i in range(blocks):
         rows = items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == i).collect()
         shared = spark.sparkContext.broadcast(Phrases([(r.id, r.text) for r in rows], window))
-        out = out.mapInArrow(_scan(shared), T.StructType([*docs.schema.fields, *_ADDED]))
+        last = i == blocks - 1 and schema is not None
+        out = out.mapInArrow(_scan(shared, then), schema) if last else out.mapInArrow(_scan(shared), T.StructType([*docs.schema.fields, *_ADDED]))
     return out
 
 
@@ -180,8 +191,7 @@ def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             sha = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
             yield pa.record_batch([b.column("doc_id"), b.column("__words"), pa.array(hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(sha), pa.array([len(x) >= 2 for x in items])], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
-    found = located(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark)
-    return found.mapInArrow(count, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return located(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, count, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -205,4 +215,4 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 columns[names.index("n_chars")] = pa.array([len(t) if s and n is not None else n for t, s, n in zip(text, spans, old, strict=True)], b.column("n_chars").type)
             yield pa.record_batch(columns, names=names)
 
-    return located(docs, benchmark).mapInArrow(excise, docs.schema)
+    return located(docs, benchmark, excise, docs.schema)

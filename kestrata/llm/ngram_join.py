@@ -181,7 +181,7 @@ def frequent_bins(docs: DataFrame, k: int) -> np.ndarray:
         for b in batches:
             for c in chunks(b.column("text")):
                 v, _ = shingle_sets(c, k)
-                total += np.bincount((v >> U64(64 - BIN_BITS)).astype(np.int64), minlength=1 << BIN_BITS)
+                np.add.at(total, (v >> U64(64 - BIN_BITS)).astype(np.int64), 1)
         if total.any():
             small = total.astype(np.uint16 if total.max() < 1 << 16 else np.int64)
             yield pa.record_batch([pa.array(np.arange(BIN_SLICES, dtype=np.int32)), pa.array([small.itemsize] * BIN_SLICES, pa.int32()), pa.array([part.tobytes() for part in small.reshape(BIN_SLICES, width)])], names=["slice", "width", "counts"])
