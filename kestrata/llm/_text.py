@@ -147,7 +147,7 @@ def shingles_of(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, n
     if not len(h):
         return h, np.zeros(len(n) + 1, np.int64)
     rolled = np.zeros(len(h), np.uint64)
-    for j in range(k):
+    for j in range(min(k, len(h))):
         rolled[: len(h) - j] += h[j:] * U64(pow(0x9FB21C651E98DF25, j + 1, 1 << 64))
     rolled = fmix(rolled)
     count = np.where(n >= k, n - k + 1, np.minimum(n, 1))
