@@ -28,7 +28,8 @@ from ._spark import WORD, cut, hinted, seeded, stratum
 
 BLOCK = 32
 OUT_SHARDS = 64
-SLOTS_PER_TASK_ROW = 1 << 16
+SLOTS_PER_ROW = 1 << 16
+SLOTS_PER_TASK = 1 << 19
 MOST_PASSES = 3
 ROWS_PER_BUCKET = 2000
 
@@ -103,8 +104,8 @@ def _slots(quotas: DataFrame, seed: int) -> DataFrame:
                 counts = np.random.default_rng([seed, zlib.crc32(s.encode())]).multinomial(int(n), [1 / OUT_SHARDS] * OUT_SHARDS)
                 k = 0
                 for shard, c in enumerate(counts.tolist()):
-                    for lo in range(k, k + c, SLOTS_PER_TASK_ROW):
-                        rows.append((s, shard, lo, min(k + c, lo + SLOTS_PER_TASK_ROW), int(blocks)))
+                    for lo in range(k, k + c, SLOTS_PER_ROW):
+                        rows.append((s, shard, lo, min(k + c, lo + SLOTS_PER_ROW), int(blocks)))
                     k += c
             yield pd.DataFrame(rows, columns=["stratum", "out_shard", "lo", "hi", "blocks"]).astype({"out_shard": "int32"})
 
@@ -115,7 +116,8 @@ def _slots(quotas: DataFrame, seed: int) -> DataFrame:
                 yield pd.DataFrame({"stratum": s, "out_shard": np.int32(shard), "block": permuted(k % n, n, zlib.crc32(s.encode()) ^ seed), "pass": (k // n).astype("int32")})
 
     ranges = quotas.select("stratum", "slots", "blocks").mapInPandas(dealt, "stratum string, out_shard int, lo long, hi long, blocks long")
-    ranges = ranges.repartition("stratum", "out_shard", "lo")
+    total = quotas.agg(F.sum("slots")).first()[0] or 0  # the ranges are tiny rows, so tasks are counted by the slots they spread to
+    ranges = ranges.repartition(min(100_000, total // SLOTS_PER_TASK + 1), "stratum", "out_shard", "lo")
     return ranges.mapInPandas(mapped, "stratum string, out_shard int, block long, pass int")
 
 
