@@ -85,7 +85,7 @@ def _contexts(c: Chunk, length: int) -> dict[str, np.ndarray]:
         # periodic text repeats one context from period to period: one row stands for such a run
         doc = np.searchsorted(c.at, a, "right") - 1
         new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (name[1:] != name[:-1]) | (doc[1:] != doc[:-1]) | (a[1:] > b[:-1] + length)])) if len(a) else np.zeros(0, np.int64)
-        last = np.append(new[1:], len(a)) - 1
+        last = np.append(new[1:], len(a))[: len(new)] - 1
         out.append((doc[new], a[new], b[new], b[last], last - new + 1, key[new], name[new]))
     doc, a, b, to, n, key, name = (np.concatenate(x) for x in zip(*out, strict=True))
     return {"doc": doc, "lo": a, "hi": b, "to": to, "n": n, "key": key, "name": name}
