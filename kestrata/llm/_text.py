@@ -7,6 +7,7 @@ with a handful of numpy passes, and no Python string is made.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,6 +15,31 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
+
+
+def _return_large_arrays() -> None:
+    """Have glibc map arrays of 4 MB or more on their own, so that a worker gives their memory back when they go.
+
+    Left alone, it raises that bound to 32 MB after the first one and keeps what is freed in its heap.
+    """
+    try:
+        ctypes.CDLL(None).mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+_return_large_arrays()
+
+
+def trim() -> None:
+    """Give freed memory back, at the end of a task that held much."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 CHUNK_BYTES = 1 << 18  # of text at once; every byte takes some hundred bytes of arrays meanwhile
 
 _WHITE = np.zeros(256, bool)

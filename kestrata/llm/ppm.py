@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import cut
-from ._text import U64, Chunk, chunks, words
+from ._text import U64, Chunk, chunks, trim, words
 
 ORDER = 5
 END = 257  # bytes are 1..256; 0 stands before the text
@@ -99,6 +99,8 @@ def counts(docs: DataFrame) -> DataFrame:
             for lo in range(0, len(t.keys), 1 << 16):
                 k = t.keys[lo : lo + (1 << 16)]
                 yield pa.record_batch([pa.array(np.full(len(k), kind, np.int32)), pa.array(k.view(np.int64)), pa.array(t.counts[lo : lo + (1 << 16)])], names=["kind", "key", "n"])
+        del tallies, t
+        trim()
 
     return docs.select("text").mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
@@ -291,6 +293,7 @@ def _tables(shared):
         trie = Trie(own[0], own[1].astype(np.int64), *low) if own is not None else None
         table = HashTable(*w) if w is not None else None
         _built[:] = [shared.value, (trie, table)]
+        trim()
         if passes == 1:  # with more, tasks of another slice may come between, and build these again
             shared.value[0] = shared.value[2] = None
     return _built[1]
