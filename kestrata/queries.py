@@ -12,6 +12,8 @@ from .functions.analyzer import LUCENE_STOPWORDS, Analyzer, analyze
 from .operators import index, merge, reads, retention, updates, writes
 from .operators.updates import Increment, Other, Overwrite, Put
 from .plans.keys import ASCENDING, order, shard_of, with_rank
+from .sources.generate import range_load
+from .sources.store import Store, scratch
 from .spec import TableSpec, make_spec
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -384,6 +386,42 @@ def analyzer_tokens(spark, sf_dir):
     return tokens.where(F.size("t") > 1).select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.col("t")[0].alias("first_token"))
 
 
+# stored tables: a log of three commits, read as it is and after compaction
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> tuple[Store, str]:
+    rows = _t(spark, sf_dir, "orders", _O)
+    store = Store(spark, scratch(spark))
+    store.create(ORDERS)
+    store.append("orders", rows)
+    store.append("orders", rows.where("o_orderkey % 5 = 0").select("o_orderkey", (F.col("o_totalprice") * 2).alias("o_totalprice"), F.lit("twice").alias("note")))
+    store.append("orders", rows.where("o_orderkey % 7 = 0").select("o_orderkey"), op=writes.DELETE)
+    return store, "orders"
+
+
+_STORED = (
+    "SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN o_custkey END AS o_custkey, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderstatus END AS o_orderstatus, "
+    "CASE WHEN o_orderkey % 5 = 0 THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice, CASE WHEN o_orderkey % 5 = 0 THEN 'twice' END AS note FROM orders WHERE o_orderkey % 7 <> 0"
+)
+
+
+@query(_STORED)
+def stored_current_rows(spark, sf_dir):
+    store, name = _stored(spark, sf_dir)
+    return store.rows(store.manifest(name))
+
+
+@query(_STORED)
+def stored_compacted_rows(spark, sf_dir):
+    store, name = _stored(spark, sf_dir)
+    return store.rows(store.compact(name))
+
+
+@query("SELECT n.x AS ts, 123::BIGINT AS value, 23::BIGINT AS incs FROM range(20000) n(x)")
+def load_generator(spark, sf_dir):
+    return range_load(spark, 20_000).where(F.col("key").between(1, 10_000)).select("ts", "value", "incs")
+
+
 # retention and statistics
 
 

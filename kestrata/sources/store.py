@@ -11,7 +11,9 @@ will do.  A commit that finds its number taken fails and can be retried.
 from __future__ import annotations
 
 import json
+import tempfile
 import time
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 from typing import Any
@@ -45,6 +47,14 @@ class Manifest:
         return cls(TableSpec.from_json(json.dumps(d["spec"])), d["version"], tuple(d["files"]), d["compacted"], tuple((c, v) for c, v in d["index_since"]))
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder for tables of one run, in the shared folder that the cluster names; our own only where it names none."""
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kestrata-"))
+    return f"{context._jsc.sc().getCheckpointDir().get()}/tables-{uuid.uuid4().hex}"
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
