@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import cut
+from ._spark import cut, remove, written
 
 
 def _stars(e: DataFrame, large: bool) -> DataFrame:
@@ -24,14 +24,18 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """edges (a, b) of longs -> (node, component), component the least node reachable; nodes without edges are absent.
 
     Edges always lead from the larger node a to the smaller b.  Every round is
-    a constant number of shuffles and is written out; rounds grow with the
-    logarithm of the nodes.
+    a constant number of shuffles and is written out as a table, and the table
+    before it is deleted; rounds grow with the logarithm of the nodes.
     """
-    e = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct())
+    e, path = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct())
     seen = None
     while True:
         mark = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == seen or not mark[0]:
-            return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
-        seen = mark
-        e = cut(_stars(_stars(e, True), False))
+            break
+        seen, old = mark, path
+        e, path = written(_stars(_stars(e, True), False))
+        remove(edges.sparkSession, old)
+    out = cut(e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct())
+    remove(edges.sparkSession, path)
+    return out

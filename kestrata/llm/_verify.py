@@ -99,4 +99,5 @@ def links(sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
         b = [ids[v] for _, v in found] + ids[some].tolist()
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([0] * len(found) + n[some].tolist(), pa.int64())], schema=_OUT)
 
-    return dealt.groupBy("grp", "i", "j").applyInArrow(compare, "a long, b long, links long")
+    # without this, the join's partitioning by group would do, and a large group's blocks all stay in one task
+    return dealt.repartition("grp", "i", "j").groupBy("grp", "i", "j").applyInArrow(compare, "a long, b long, links long")

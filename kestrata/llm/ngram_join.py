@@ -8,12 +8,13 @@ every qualifying pair shares:
 * heavy sets are looked up in inverted lists.  A list holds the sets that agree
   on a segment of the shingle space.  With k shingles that may differ and
   k + 1 + spare segments, a qualifying pair agrees on more than ``spare`` of
-  them.  Segments that hold frequent shingles only, or none, are weak: their
-  lists would be as long as a shared passage is frequent.  A set uses its weak
-  segments only if it has more than ``spare`` of them, so of every qualifying
-  pair both use one segment on which they agree.  What counts as frequent
-  comes from counts of all shingles in a fixed number of hashed bins; it moves
-  work, never results.
+  them.  A segment's strength is a matter of its content: none, frequent
+  shingles only, then rare ones.  Each set leaves out the weakest, at most
+  ``spare`` of them and all below one strength, so the strongest segment on
+  which a pair agrees is used by both.  Lists of weak segments would be as long
+  as a shared passage is frequent.  What counts as frequent comes from counts
+  of all shingles in a fixed number of hashed bins; it moves work, never
+  results.
 
 The boundary is the size that makes the cost over the table's histogram of
 small sizes least: signatures emitted, plus exact checks that only lists need.
@@ -47,9 +48,10 @@ LIGHT_MOST = 32  # the boundary is sought up to this size
 CHECK_COST = 2.0  # of an exact check that a list may cause, in signatures
 BROADCAST_ROWS = 500_000  # of ids, a few dozen bytes each, that may go to every task instead of shuffling all texts
 GROWTH = 1.5  # of the size classes of heavy sets
-BIN_BITS = 20  # of the hashed bins in which shingles are counted
+BIN_BITS = 22  # of the hashed bins in which shingles are counted
 BIN_SLICES = 64
-FREQUENT = 2.0  # times the mean count of a bin
+SPARE = 0.25  # of the segments, beyond those that chance leaves empty, may be left out as weak
+FREQUENT = 4.0  # standard deviations above the mean count of a bin
 
 
 def overlap(s: int, t: int, num: int, den: int) -> int:
@@ -80,13 +82,13 @@ def class_top(i: int) -> int:
 
 
 def spare(i: int, num: int, den: int) -> int:
-    """Weak segments that a set of class i may ignore: what chance leaves empty, with room."""
+    """Weak segments that a set of class i may leave out: what chance leaves empty, with room."""
     n, bottom = int(2 * class_top(i) * (den - num) // (den + num)) + 1, class_top(i - 1) if i else 1
     room = 2.0
     for _ in range(4):
         mean = (n + room) * exp(-bottom / (n + room))
         room = min(n + 0.0, mean + 4 * sqrt(mean) + 2)
-    return ceil(room)
+    return ceil(room + n * SPARE)
 
 
 def segments(i: int, num: int, den: int) -> int:
@@ -145,10 +147,11 @@ def _signatures(v: np.ndarray, at: np.ndarray, x: int, num: int, den: int, frequ
         sums = np.zeros(len(docs) * n, np.uint64)
         cell = (share[pos] % U64(n)).astype(np.int64) + of * n
         np.add.at(sums, cell, weight[pos])
-        strong = np.zeros(len(docs) * n, bool)
-        strong[cell[rare[pos]]] = True
-        use = strong.reshape(len(docs), n)
-        use = (use | ((~use).sum(axis=1) > spare(i, num, den))[:, None]).ravel()
+        # the weakest segments: empty, then frequent shingles only, then few; each set leaves out at most the spare ones
+        strength = np.bincount(cell, minlength=len(docs) * n) + np.bincount(cell[rare[pos]], minlength=len(docs) * n) * 1000
+        strength = strength.reshape(len(docs), n)
+        room = spare(i, num, den)
+        use = (strength >= np.partition(strength, room, axis=1)[:, room : room + 1]).ravel()
         salt = np.arange(1, n + 1, dtype=np.uint64) * U64(0x9E3779B97F4A7C15) + U64(i * 0xC2B2AE3D27D4EB4F % (1 << 64))
         yield np.repeat(docs, n)[use], fmix((sums + np.tile(salt, len(docs)))[use])
 
@@ -196,7 +199,7 @@ def frequent_bins(docs: DataFrame, k: int) -> np.ndarray:
     total = np.zeros((BIN_SLICES, width), np.int64)
     for r in counts.collect():
         total[r["slice"]] = np.frombuffer(r.counts, np.int64)
-    return total.ravel() > max(8.0, FREQUENT * total.mean())
+    return total.ravel() > max(8.0, total.mean() + FREQUENT * sqrt(total.mean()))
 
 
 def candidate_groups(docs: DataFrame, k: int, num: int, den: int, x: int) -> DataFrame:
