@@ -176,7 +176,7 @@ def classes(docs: DataFrame, k: int) -> DataFrame:
 
 
 def frequent_bins(docs: DataFrame, k: int) -> np.ndarray:
-    """Which of the hashed bins hold frequent shingles, from the counts of every text; its size is fixed."""
+    """Which of the hashed bins hold frequent shingles, as packed bits, from the counts of every text; its size is fixed."""
     width = (1 << BIN_BITS) // BIN_SLICES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,18 +193,19 @@ def frequent_bins(docs: DataFrame, k: int) -> np.ndarray:
         total = np.zeros(width, np.int64)
         for w, c in zip(t.column("width").to_pylist(), t.column("counts").to_pylist(), strict=True):
             total += np.frombuffer(c, np.uint16 if w == 2 else np.int64)
-        return pa.table([pa.array([t.column("slice")[0].as_py()], pa.int32()), pa.array([total.tobytes()])], names=["slice", "counts"])
+        often = total > max(8.0, total.mean() + FREQUENT * sqrt(total.mean()))
+        return pa.table([pa.array([t.column("slice")[0].as_py()], pa.int32()), pa.array([np.packbits(often).tobytes()])], names=["slice", "often"])
 
-    counts = docs.select("text").mapInArrow(count, "slice int, width int, counts binary").groupBy("slice").applyInArrow(add, "slice int, counts binary")
-    total = np.zeros((BIN_SLICES, width), np.int64)
+    counts = docs.select("text").mapInArrow(count, "slice int, width int, counts binary").groupBy("slice").applyInArrow(add, "slice int, often binary")
+    bits = np.zeros((BIN_SLICES, width // 8), np.uint8)
     for r in counts.collect():
-        total[r["slice"]] = np.frombuffer(r.counts, np.int64)
-    return total.ravel() > max(8.0, total.mean() + FREQUENT * sqrt(total.mean()))
+        bits[r["slice"]] = np.frombuffer(r.often, np.uint8)
+    return bits.ravel()
 
 
 def candidate_groups(docs: DataFrame, k: int, num: int, den: int, x: int) -> DataFrame:
     """(hi, grp): the sets, by the first half of their name, that share a list or subset with another, and their group."""
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(frequent_bins(docs, k)))
+    shared = docs.sparkSession.sparkContext.broadcast(frequent_bins(docs, k))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = np.unpackbits(shared.value).astype(bool)
