@@ -143,7 +143,7 @@ def taken_words(docs: DataFrame, seed: int = 29) -> DataFrame:
     rows = cut(_placed(docs, seed, ["doc_id"]))
     quotas, slots = _mix(rows, seed)
     uses = slots.groupBy("stratum", "block").agg(F.count("*").alias("uses"))
-    taken = _pieces(rows).join(uses, ["stratum", "block"], "left").groupBy("doc_id", "stratum", "start", "size").agg(F.coalesce(F.sum(F.col("words") * F.col("uses")), F.lit(0)).alias("taken"))
+    taken = _pieces(rows).join(uses.hint("merge"), ["stratum", "block"], "left").groupBy("doc_id", "stratum", "start", "size").agg(F.coalesce(F.sum(F.col("words") * F.col("uses")), F.lit(0)).alias("taken"))
     every = taken.drop("start").unionByName(rows.filter("size = 0").select("doc_id", "stratum", "size", F.lit(0).cast("long").alias("taken")))
     return every.join(hinted(quotas.select("stratum", "source_size", "target"), 100_000), "stratum").select("doc_id", "size", "source_size", "target", F.col("taken").cast("long"))
 
@@ -167,8 +167,8 @@ def mixed_documents(docs: DataFrame, seed: int = 29) -> DataFrame:
     rows = _placed_named(docs, seed)
     starts = cut(rows.select("stratum", "start", "size"))
     _, slots = _mix(starts, seed)
-    pieces = _pieces(starts)
-    takes = pieces.join(slots.drop("out_shard"), ["stratum", "block"]).groupBy("stratum", "start", "pass").agg(F.sort_array(F.collect_list(F.struct("from", "words"))).alias("parts"), F.sum("words").alias("got"))
+    # planned from the few quotas, the slots look small enough to broadcast, which they are not
+    takes = _pieces(starts).join(slots.drop("out_shard").hint("merge"), ["stratum", "block"]).groupBy("stratum", "start", "pass").agg(F.sort_array(F.collect_list(F.struct("from", "words"))).alias("parts"), F.sum("words").alias("got"))
     out = rows.filter("size > 0").join(takes, ["stratum", "start"])
     whole = F.col("got") == F.col("size")
     some = F.pandas_udf(_joined, "string")(F.when(~whole, F.col("row.text")), F.col("parts.from"), F.col("parts.words"))
