@@ -143,18 +143,37 @@ def test_top_k(spark, monkeypatch):
     rows += [(i + 200, rows[i][1]) for i in range(30)]  # ties
     rows += [(500, None), (520, [1.0, None]), (540, [float("nan")] * 9), (560, [float("inf")] * 9), (None, rows[0][1]), (580, []), (600, [1.0, 2.0]), (20, rows[20][1])]
     frame_ = spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id long, embedding array<float>, score int, node int").repartition(4)
-    usable = {i: x for i, x in rows if i is not None and x is not None and all(v is not None and np.isfinite(v) for v in x)}
-    m = {i: np.pad(np.floor(64 * np.array(x, np.float32).astype(float)), (0, 9 - len(x))) for i, x in usable.items()}
-    want = []
-    for q in m:
-        if q % 20 == 0:
-            best = sorted((-int(m[q] @ m[v]), v) for v in m if v != q)[:7]
-            want += [(q, r + 1, v, -s) for r, (s, v) in enumerate(best)]
+    usable = [(i, x) for i, x in rows if i is not None and x is not None and all(v is not None and np.isfinite(v) for v in x)]
+    want = best_products([(i, np.pad(np.floor(64 * np.array(x, np.float32).astype(float)), (0, 9 - len(x)))) for i, x in usable], 7)
     for nodes in (1, 2, 3):
-        assert sorted(tuple(r) for r in topk.top_k(frame_, 7, 20, nodes).collect()) == sorted(want)
+        assert sorted(tuple(r) for r in topk.top_k(frame_, 7, 20, nodes).collect()) == want
     assert topk.top_k(frame_.where("false")).collect() == []
 
 
+def best_products(rows, k):
+    """query_id, rank, vec_id, score in Python's integers; each row with an id divisible by 20 asks all other rows."""
+    ints = [(i, [int(v) for v in x]) for i, x in rows]
+    want = []
+    for a, (q, x) in enumerate(ints):
+        if q % 20 == 0:
+            best = sorted((-sum(u * v for u, v in zip(x, y, strict=True)), i) for b, (i, y) in enumerate(ints) if a != b)[:k]
+            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    return sorted(want)
+
+
+@pytest.mark.parametrize(("scale", "shift"), [(1e6, 0.0), (3e6, 0.0), (1e6, -3.0), (4.0, 5.0)])
+def test_top_k_is_exact_beyond_doubles_and_below_zero(spark, monkeypatch, scale, shift):
+    monkeypatch.setattr(topk, "ROWS", 60)
+    monkeypatch.setattr(topk, "QUERIES", 3)
+    monkeypatch.setattr(topk, "RANGE_BYTES", 6 * 8 * 6)
+    rng = np.random.default_rng(8)
+    # queries lie opposite the rest where there is a shift, so that all scores and cutoffs are negative
+    m = (rng.standard_normal((150, 6)) + np.where(np.arange(150)[:, None] % 20 == 0, -shift, shift)) * scale
+    rows = [(i, [float(v) for v in x]) for i, x in enumerate(m)]
+    want = best_products([(i, np.floor(64 * np.array(x))) for i, x in rows], 5)
+    assert sorted(tuple(r) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), 5).collect()) == want
+
+
 @pytest.mark.parametrize("block", [decontam.BLOCK_BYTES, 60])
 def test_decontamination(spark, docs, odd, empty, block, monkeypatch):
     rnd = random.Random(2)
