@@ -13,13 +13,14 @@ WITH RECURSIVE steps(i, k, c) AS (
 crc AS (SELECT list(c ORDER BY i) AS t FROM steps WHERE k = 8),
 d AS (
     SELECT doc_id, CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END AS s, octet_length(encode(coalesce(text, ''))) + 8 AS size,
-        CAST('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, '')), 1, 15) AS BIGINT) AS h, hex(encode(coalesce(text, ''))) AS x
+        hex(encode(coalesce(text, ''))) AS x
     FROM documents),
-b AS (
-    SELECT doc_id, s, size, h,
+t AS (
+    SELECT doc_id, s, size,
         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, size - 8), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT))),
             lambda c, b: xor(c >> 8, crc.t[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32
     FROM d, crc),
+b AS (SELECT *, CAST('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, '') || ':' || text_crc32), 1, 15) AS BIGINT) AS h FROM t),
 r AS (SELECT *, (2 * row_number() OVER (PARTITION BY s ORDER BY h, doc_id, text_crc32, size) - 1) / (2 * count(*) OVER (PARTITION BY s))::DOUBLE AS f FROM b),
 p AS (SELECT *, row_number() OVER (ORDER BY f, h, s, doc_id, text_crc32, size) - 1 AS pos, count(*) OVER () AS n FROM r),
 q AS (SELECT *, pos * 24 // n AS shard FROM p)

@@ -33,7 +33,7 @@ def interleave(docs: DataFrame, n_shards: int, seed: int = 17) -> DataFrame:
     rows = docs.select(
         "doc_id",
         stratum(F.col("source")).alias("stratum"),
-        seeded(seed, F.col("doc_id")).alias("h"),
+        seeded(seed, F.col("doc_id"), F.crc32(raw.cast("binary"))).alias("h"),
         (F.octet_length(raw) + 8).cast("long").alias("size"),
         F.crc32(raw.cast("binary")).alias("text_crc32"),
     )
