@@ -2,10 +2,14 @@
 
 Each source's words, its documents in a seeded order, are one sequence cut
 into blocks of ``BLOCK`` words.  A source's quota of slots is its target over
-the mean words of its blocks; a multinomial draw deals the quota to the output
-shards.  Slot k of a source takes block perm((k mod blocks)) of pass k div
-blocks, where perm is a keyed pseudorandom permutation of the source's block
-indexes, and slots meet blocks in a join by (source, block).
+the mean words of its blocks.  Every output shard has equally many slots; a
+multinomial draw decides how many of them each source fills, with the shares
+of what the quotas still lack as probabilities (the stated correction: draws
+beyond a quota are drawn anew, so the counts of all shards add up to the
+quotas).  A source's slots are numbered through the shards; slot k takes block
+perm((k mod blocks)) of pass k div blocks, where perm is a keyed pseudorandom
+permutation of the source's block indexes, and slots meet blocks in a join by
+(source, run of block indexes).
 
 Defined results: a null source is a source of its own and comes last; a null,
 empty or blank text has size 0 and is never taken; repeated rows are mixed one
@@ -21,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +36,7 @@ OUT_SHARDS = 64
 SLOTS_PER_ROW = 1 << 16
 SLOTS_PER_TASK = 1 << 19
 MOST_PASSES = 3
+BUCKET_BLOCKS = 1024  # of a source that meet their slots in one group
 ROWS_PER_BUCKET = 2000
 
 
@@ -83,7 +89,7 @@ def _placed(docs: DataFrame, seed: int, keep: list[str]) -> DataFrame:
     rows = docs.select(
         *keep,
         stratum(F.col("source")).alias("stratum"),
-        seeded(seed, F.col("doc_id")).alias("__h"),
+        seeded(seed, F.col("doc_id"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))).alias("__h"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.xxhash64("text").alias("__x"),
     ).withColumn("__b", F.shiftright("__h", 60 - bits))
@@ -94,19 +100,33 @@ def _placed(docs: DataFrame, seed: int, keep: list[str]) -> DataFrame:
     return rows.withColumn("start", F.col("__before") + F.col("__sum") - F.col("size")).drop("__h", "__x", "__b", "__sum", "__before")
 
 
-def _slots(quotas: DataFrame, seed: int) -> DataFrame:
+def shard_counts(quotas: np.ndarray, shards: int, seed: int) -> Iterator[np.ndarray]:
+    """For each output shard, how many of its slots each source fills: a multinomial draw by what the quotas still lack."""
+    left = quotas.astype(np.int64)
+    for shard in range(shards):
+        rng, counts = np.random.default_rng([seed, shard]), np.zeros(len(left), np.int64)
+        todo = int(left.sum()) // (shards - shard)
+        while todo:
+            room = left - counts
+            drawn = np.minimum(rng.multinomial(todo, room / room.sum()), room)
+            counts += drawn
+            todo -= int(drawn.sum())
+        left = left - counts
+        yield counts
+
+
+def _slots(quotas: DataFrame, seed: int, shards: int) -> DataFrame:
     """stratum, out_shard, block, pass for every slot of the mix."""
 
     def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for s, n, blocks in zip(b.stratum, b.slots, b.blocks, strict=True):
-                counts = np.random.default_rng([seed, zlib.crc32(s.encode())]).multinomial(int(n), [1 / OUT_SHARDS] * OUT_SHARDS)
-                k = 0
-                for shard, c in enumerate(counts.tolist()):
-                    for lo in range(k, k + c, SLOTS_PER_ROW):
-                        rows.append((s, shard, lo, min(k + c, lo + SLOTS_PER_ROW), int(blocks)))
-                    k += c
+        every = [b for b in batches if len(b)]
+        if not every:
+            return
+        q = pd.concat(every).sort_values("stratum")  # a row a source
+        names, blocks, at = q.stratum.tolist(), q.blocks.tolist(), np.zeros(len(q), np.int64)
+        for shard, counts in enumerate(shard_counts(q.slots.to_numpy(), shards, seed)):
+            rows = [(names[i], shard, lo, min(int(at[i] + counts[i]), lo + SLOTS_PER_ROW), blocks[i]) for i in np.flatnonzero(counts).tolist() for lo in range(int(at[i]), int(at[i] + counts[i]), SLOTS_PER_ROW)]
+            at += counts
             yield pd.DataFrame(rows, columns=["stratum", "out_shard", "lo", "hi", "blocks"]).astype({"out_shard": "int32"})
 
     def mapped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -115,37 +135,81 @@ def _slots(quotas: DataFrame, seed: int) -> DataFrame:
                 k = np.arange(lo, hi)
                 yield pd.DataFrame({"stratum": s, "out_shard": np.int32(shard), "block": permuted(k % n, n, zlib.crc32(s.encode()) ^ seed), "pass": (k // n).astype("int32")})
 
-    ranges = quotas.select("stratum", "slots", "blocks").mapInPandas(dealt, "stratum string, out_shard int, lo long, hi long, blocks long")
+    ranges = quotas.select("stratum", "slots", "blocks").coalesce(1).mapInPandas(dealt, "stratum string, out_shard int, lo long, hi long, blocks long")
     total = quotas.agg(F.sum("slots")).first()[0] or 0  # the ranges are tiny rows, so tasks are counted by the slots they spread to
     ranges = ranges.repartition(min(100_000, total // SLOTS_PER_TASK + 1), "stratum", "out_shard", "lo")
     return ranges.mapInPandas(mapped, "stratum string, out_shard int, block long, pass int")
 
 
-def _mix(rows: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
+def _mix(rows: DataFrame, seed: int, shards: int) -> tuple[DataFrame, DataFrame]:
     """Quotas by source, and the slots."""
     sizes = rows.groupBy("stratum").agg(F.sum("size").alias("source_size"))
     quotas = targets(sizes).withColumn("blocks", F.ceil(F.col("source_size") / BLOCK).cast("long"))
     slots = F.when(F.col("source_size") > 0, F.least(F.round(F.col("target") * F.col("blocks") / F.col("source_size")).cast("long"), MOST_PASSES * F.col("blocks")))
     quotas = cut(quotas.withColumn("slots", F.coalesce(slots, F.lit(0)).cast("long")))
-    return quotas, _slots(quotas.filter("slots > 0"), seed)
+    return quotas, _slots(quotas.filter("slots > 0"), seed, shards)
+
+
+def _overlaps(docs: pa.Table, slots: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the documents (by start) and slots of one run of blocks: slot, document, first word within the document, and words, for each two that meet."""
+    start, size, block = (t.column(c).to_numpy() for t, c in ((docs, "start"), (docs, "size"), (slots, "block")))
+    lo, hi = block * BLOCK, (block + 1) * BLOCK
+    first, last = np.searchsorted(start + size, lo, "right"), np.searchsorted(start, hi, "left")
+    n = last - first
+    slot = np.repeat(np.arange(len(block)), n)
+    doc = np.arange(len(slot)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+    a, b = np.maximum(start[doc], lo[slot]), np.minimum(start[doc] + size[doc], hi[slot])
+    return slot, doc, a - start[doc], b - a
+
+
+def _meet(rows: DataFrame, slots: DataFrame, emit, schema: str) -> DataFrame:
+    """emit(documents by start, slots) over every (source, run of blocks); a document stands in each run that it has words in.
+
+    A group has at most MOST_PASSES slots a block and the documents of BUCKET_BLOCKS * BLOCK words.
+    """
+    span = BLOCK * BUCKET_BLOCKS
+    left = rows.filter("size > 0").withColumn("n_runs", F.expr(f"cast((start + size - 1) div {span} - start div {span} + 1 as int)"))
+    left = left.withColumn("run", F.explode(F.sequence(F.expr(f"start div {span}"), F.expr(f"(start + size - 1) div {span}"))))
+    right = slots.withColumn("run", F.expr(f"block div {BUCKET_BLOCKS}"))
+
+    def met(docs: pa.Table, own: pa.Table) -> pa.Table:
+        return emit(docs.sort_by([("start", "ascending")]).combine_chunks(), own)
+
+    return left.groupBy("stratum", "run").cogroup(right.groupBy("stratum", "run")).applyInArrow(met, schema)
+
+
+def _lists(of: np.ndarray, n: int, kind: pa.StructType, *columns: np.ndarray) -> pa.Array:
+    """Lists of structs for rows 0..n-1, from columns whose rows belong to ``of`` (ascending)."""
+    at = np.searchsorted(of, np.arange(n + 1))
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.StructArray.from_arrays([pa.array(c).cast(f.type) for c, f in zip(columns, kind, strict=True)], fields=list(kind)))
 
 
-def _pieces(rows: DataFrame) -> DataFrame:
-    """One row for each block that a document has words in: from, words (within the document)."""
-    spread = rows.filter("size > 0").withColumn("block", F.explode(F.sequence(F.expr(f"start div {BLOCK}"), F.expr(f"(start + size - 1) div {BLOCK}"))))
-    lo = F.greatest(F.col("start"), F.col("block") * BLOCK)
-    hi = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * BLOCK)
-    return spread.withColumn("from", lo - F.col("start")).withColumn("words", hi - lo)
+_BY_SHARD = pa.struct([("shard", pa.int32()), ("words", pa.int64())])
+_PART = pa.struct([("from", pa.int64()), ("words", pa.int64())])
 
 
-def taken_words(docs: DataFrame, seed: int = 29) -> DataFrame:
-    """doc_id, size, source_size, target and taken of every document."""
+def taken_words(docs: DataFrame, seed: int = 29, shards: int = OUT_SHARDS) -> DataFrame:
+    """doc_id, size, source_size, target, taken, and by_shard (shard, words: what each output shard takes) of every document."""
     rows = cut(_placed(docs, seed, ["doc_id"]))
-    quotas, slots = _mix(rows, seed)
-    uses = slots.groupBy("stratum", "block").agg(F.count("*").alias("uses"))
-    taken = _pieces(rows).join(uses.hint("merge"), ["stratum", "block"], "left").groupBy("doc_id", "stratum", "start", "size").agg(F.coalesce(F.sum(F.col("words") * F.col("uses")), F.lit(0)).alias("taken"))
-    every = taken.drop("start").unionByName(rows.filter("size = 0").select("doc_id", "stratum", "size", F.lit(0).cast("long").alias("taken")))
-    return every.join(hinted(quotas.select("stratum", "source_size", "target"), 100_000), "stratum").select("doc_id", "size", "source_size", "target", F.col("taken").cast("long"))
+    quotas, slots = _mix(rows, seed, shards)
+
+    def emit(docs: pa.Table, own: pa.Table) -> pa.Table:
+        n = docs.num_rows
+        slot, doc, _, words = _overlaps(docs, own)
+        cell, at = np.unique(doc * shards + own.column("out_shard").to_numpy()[slot], return_inverse=True)
+        sums = np.zeros(len(cell), np.int64)
+        np.add.at(sums, at, words)
+        lists = _lists(cell // shards, n, _BY_SHARD, cell % shards, sums)
+        return docs.select(["doc_id", "stratum", "start", "size", "n_runs"]).append_column("by_shard", lists)
+
+    met = _meet(rows, slots.select("stratum", "block", "out_shard"), emit, "doc_id long, stratum string, start long, size long, n_runs int, by_shard array<struct<shard:int,words:long>>")
+    one = met.filter("n_runs = 1").select("doc_id", "stratum", "size", "by_shard")
+    parts = met.filter("n_runs > 1").groupBy("doc_id", "stratum", "start", "size").agg(F.flatten(F.collect_list("by_shard")).alias("parts"))
+    each = "transform(array_sort(array_distinct(transform(parts, p -> p.shard))), s -> struct(s as shard, aggregate(filter(parts, p -> p.shard = s), 0L, (n, p) -> n + p.words) as words))"
+    several = parts.select("doc_id", "stratum", "size", F.expr(each).alias("by_shard"))
+    none = rows.filter("size = 0").select("doc_id", "stratum", "size", F.expr("cast(array() as array<struct<shard:int,words:long>>)").alias("by_shard"))
+    every = one.unionByName(several).unionByName(none).withColumn("taken", F.expr("aggregate(by_shard, 0L, (n, p) -> n + p.words)"))
+    return every.join(hinted(quotas.select("stratum", "source_size", "target"), 100_000), "stratum").select("doc_id", "size", "source_size", "target", "taken", "by_shard")
 
 
 def _joined(text: pd.Series, starts: pd.Series, counts: pd.Series) -> pd.Series:
@@ -157,19 +221,32 @@ def _joined(text: pd.Series, starts: pd.Series, counts: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def mixed_documents(docs: DataFrame, seed: int = 29) -> DataFrame:
+def mixed_documents(docs: DataFrame, seed: int = 29, shards: int = OUT_SHARDS) -> DataFrame:
     """The mix as documents: for each pass that takes any of its blocks, a row with the words taken.
 
-    Blocks of one document and pass are joined again in their order, so a pass
-    that takes all of a document returns its very text.
+    Blocks of one document and pass are joined again in their order, whatever
+    shards drew them, so a pass that takes all of a document returns its very text.
     """
     names = docs.columns
     rows = _placed_named(docs, seed)
     starts = cut(rows.select("stratum", "start", "size"))
-    _, slots = _mix(starts, seed)
-    # planned from the few quotas, the slots look small enough to broadcast, which they are not
-    takes = _pieces(starts).join(slots.drop("out_shard").hint("merge"), ["stratum", "block"]).groupBy("stratum", "start", "pass").agg(F.sort_array(F.collect_list(F.struct("from", "words"))).alias("parts"), F.sum("words").alias("got"))
-    out = rows.filter("size > 0").join(takes, ["stratum", "start"])
+    _, slots = _mix(starts, seed, shards)
+
+    def emit(docs: pa.Table, own: pa.Table) -> pa.Table:
+        slot, doc, first, words = _overlaps(docs, own)
+        cell = doc * MOST_PASSES + own.column("pass").to_numpy()[slot]
+        order = np.lexsort((first, cell))
+        cell, first, words = cell[order], first[order], words[order]
+        some, at = np.unique(cell, return_index=True)
+        lists = _lists(np.repeat(np.arange(len(some)), np.diff(np.append(at, len(cell)))), len(some), _PART, first, words)
+        out = docs.select(["stratum", "start", "n_runs"]).take(pa.array(some // MOST_PASSES))
+        return out.append_column("pass", pa.array((some % MOST_PASSES).astype(np.int32))).append_column("parts", lists)
+
+    met = _meet(starts, slots.select("stratum", "block", "pass"), emit, "stratum string, start long, n_runs int, pass int, parts array<struct<from:long,words:long>>")
+    one = met.filter("n_runs = 1").select("stratum", "start", "pass", "parts")
+    several = met.filter("n_runs > 1").groupBy("stratum", "start", "pass").agg(F.sort_array(F.flatten(F.collect_list("parts"))).alias("parts"))
+    takes = one.unionByName(several).withColumn("got", F.expr("aggregate(parts, 0L, (n, p) -> n + p.words)"))
+    out = rows.filter("size > 0").join(takes.hint("merge"), ["stratum", "start"])
     whole = F.col("got") == F.col("size")
     some = F.pandas_udf(_joined, "string")(F.when(~whole, F.col("row.text")), F.col("parts.from"), F.col("parts.words"))
     text = F.when(whole, F.col("row.text")).otherwise(some)

@@ -95,6 +95,34 @@ def test_mixing(spark, docs, odd, empty):
     assert mixing.taken_words(empty).collect() == [] and mixing.mixed_documents(empty).collect() == []
 
 
+@pytest.mark.parametrize("shards", [1, 5])
+def test_mixing_by_brute_force(spark, docs, odd, monkeypatch, shards):
+    """Order, blocks, draws, slots and shards of the mix, one slot at a time."""
+    monkeypatch.setattr(mixing, "BUCKET_BLOCKS", 3)
+    out = {r.doc_id: r for r in mixing.taken_words(docs, seed=4, shards=shards).collect()}
+    by_source = {}
+    for i, t, s in odd:
+        h = int(hashlib.md5(f"4:{i}:{zlib.crc32((t or '').encode())}".encode()).hexdigest()[:15], 16)
+        by_source.setdefault("n" if s is None else "s" + s, []).append((h, i, len(brute.words(t))))
+    sequence = {s: [i for _, i, n in sorted(rows) for _ in range(n)] for s, rows in by_source.items()}
+    target = brute.water_fill({None if s == "n" else s[1:]: len(w) for s, w in sequence.items()})
+    names = sorted(sequence)
+    blocks = {s: -(-len(sequence[s]) // mixing.BLOCK) for s in names}
+    quotas = np.array([min(3 * blocks[s], round(target[None if s == "n" else s[1:]] * blocks[s] / len(sequence[s]))) for s in names])
+    counts = list(mixing.shard_counts(quotas, shards, 4))
+    assert sum(counts).tolist() == quotas.tolist() and len({int(c.sum()) // 2 for c in counts}) <= 2
+    want, at = {i: Counter() for i, _, _ in odd}, dict.fromkeys(names, 0)
+    for shard, c in enumerate(counts):
+        for s, n in zip(names, c.tolist(), strict=True):
+            for k in range(at[s], at[s] + n):
+                block = int(mixing.permuted(np.array([k % blocks[s]]), blocks[s], zlib.crc32(s.encode()) ^ 4)[0])
+                for i in sequence[s][block * mixing.BLOCK : (block + 1) * mixing.BLOCK]:
+                    want[i][shard] += 1
+            at[s] += n
+    assert {i: dict(r.by_shard) for i, r in out.items()} == {i: dict(w) for i, w in want.items()}
+    assert all(r.taken == sum(want[i].values()) for i, r in out.items())
+
+
 def test_targets_reshare_until_none_is_above(spark):
     for sizes in ({"a": 10, "b": 10, "c": 1000}, {"a": 1, "b": 1, "c": 1, None: 5}, {"a": 7}, {"a": 0, "b": 9, "é": 100, "z": 3, None: 50}):
         rows = spark.createDataFrame([("n" if s is None else "s" + s, n) for s, n in sizes.items()], "stratum string, source_size long")
