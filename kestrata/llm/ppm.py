@@ -9,10 +9,18 @@ longer context are excluded from the shorter one's counts.  Below order 0 the
 symbols not seen at all are equally likely.  Contexts that training never saw
 are skipped at no cost, so the probabilities of all continuations sum to one.
 
-The trie grows with the corpus, so it is dealt to slices of bounded size by
-the last two symbols of the context, each broadcast for one pass over the
-texts; order 0 and 1, of bounded size, go with every slice.  The word counts of
-the base score are dealt by hash likewise.
+Trie and vocabulary grow with the corpus, and no process holds them:
+
+1. documents are dealt to parts of some ``PART_BYTES``; a part's distinct
+   grams (a symbol with its context) and words go, packed, to slices: grams by
+   the hash of the last ``LOW`` context symbols, words by their own;
+2. a slice sums the training counts of all parts, which makes it a trie of the
+   contexts of order ``LOW`` and more that end in its symbols;
+3. a slice answers each part's grams with log probabilities (a gram's value is
+   the same wherever it stands) and its words with counts;
+4. a part's texts look their grams and words up among the part's answers.
+
+Orders below ``LOW`` are broadcast: at most 257 ** LOW counts, however large the corpus.
 
 Defined results: null and empty texts are the end symbol alone; repeated rows
 count and score one by one; without training texts every symbol has
@@ -28,14 +36,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import cut
-from ._text import U64, Chunk, chunks, trim, words
+from ._spark import cut, small_batches
+from ._text import U64, Chunk, chunks, fmix, trim, words
 
 ORDER = 5
+LOW = 3  # orders below this one are in every slice
 END = 257  # bytes are 1..256; 0 stands before the text
 SYMBOLS = 257
 BITS = 9
-SLICE_GRAMS = 6_000_000
+PART_BYTES = 24 << 20
+SLICE_BYTES = 32 << 20  # of text for each slice, up to MOST_SLICES
+MOST_SLICES = 1024
 HOLD = 2_000_000
 END_WORD = np.uint64(0x5851F42D4C957F2D)
 
@@ -61,48 +72,47 @@ def grams(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
     return key[mine], np.concatenate([[0], np.cumsum(np.diff(c.at) + 1)])
 
 
-_built: list = [None, None]  # a broadcast slice and the tables over it, kept for the tasks of this worker
-
-
 class Tally:
-    """Counts of 64-bit keys, merged whenever enough new ones are held."""
+    """Counts of 64-bit keys, merged whenever enough new ones are held; a weight of 0 only names a key."""
 
     def __init__(self) -> None:
         self.keys, self.counts, self.held, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
 
-    def add(self, keys: np.ndarray) -> None:
-        self.held.append(keys)
+    def add(self, keys: np.ndarray, weights: np.ndarray) -> None:
+        self.held.append((keys, weights))
         self.n += len(keys)
         if self.n > HOLD:
             self.merge()
 
     def merge(self) -> None:
-        k, c = np.unique(np.concatenate([*self.held, np.zeros(0, np.uint64)]), return_counts=True)
-        self.keys, at = np.unique(np.concatenate([self.keys, k]), return_inverse=True)
-        total = np.zeros(len(self.keys), np.int64)
-        np.add.at(total, at, np.concatenate([self.counts, c]))
-        self.counts, self.held, self.n = total, [], 0
+        held = [(self.keys, self.counts), *self.held]
+        self.keys, self.counts = _sums(np.concatenate([k for k, _ in held]), np.concatenate([w for _, w in held]))
+        self.held, self.n = [], 0
 
 
-def counts(docs: DataFrame) -> DataFrame:
-    """kind (0 byte grams, 1 words), key and n over all the texts."""
+def packed(x: np.ndarray) -> bytes:
+    """64-bit integers by bytes of equal weight, compressed; ``unpacked`` takes their number."""
+    return pa.compress(np.ascontiguousarray(x.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).tobytes(), codec="zstd", asbytes=True) if len(x) else b""
+
+
+def unpacked(raw: bytes, n: int) -> np.ndarray:
+    if not n:
+        return np.zeros(0, np.uint64)
+    planes = np.frombuffer(pa.decompress(raw, decompressed_size=8 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, n).T).view(np.uint64).ravel()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _built[:] = [None, None]  # of an earlier run in this worker
-        tallies = (Tally(), Tally())
-        for b in batches:
-            for c in chunks(b.column("text")):
-                tallies[0].add(grams(c)[0])
-                tallies[1].add(np.concatenate([words(c)[0], np.full(c.docs, END_WORD)]))
-        for kind, t in enumerate(tallies):
-            t.merge()
-            for lo in range(0, len(t.keys), 1 << 16):
-                k = t.keys[lo : lo + (1 << 16)]
-                yield pa.record_batch([pa.array(np.full(len(k), kind, np.int32)), pa.array(k.view(np.int64)), pa.array(t.counts[lo : lo + (1 << 16)])], names=["kind", "key", "n"])
-        del tallies, t
-        trim()
 
-    return docs.select("text").mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+def _packed_keys(sorted_keys: np.ndarray) -> bytes:
+    return packed(np.diff(sorted_keys, prepend=U64(0)))
+
+
+def _unpacked_keys(raw: bytes, n: int) -> np.ndarray:
+    return np.cumsum(unpacked(raw, n), dtype=np.uint64)
+
+
+def _slice_of(kind: int, keys: np.ndarray, slices: int) -> np.ndarray:
+    own = (keys >> U64(BITS)) & _mask(LOW) if kind == 0 else keys
+    return (fmix(own + U64(kind)) % U64(slices)).astype(np.int32)
 
 
 class HashTable:
@@ -166,7 +176,7 @@ def _mask(order: int) -> np.uint64:
 
 
 class Trie:
-    """Contexts of orders 0..ORDER of one slice, as sorted arrays with log10 probabilities.
+    """Contexts of orders 0..ORDER, those of order LOW and more of one slice, as sorted arrays with log10 probabilities.
 
     Per order: gram keys (context and symbol) with the log probability where the
     context is the longest known one, and the log count; contexts with the log
@@ -178,7 +188,7 @@ class Trie:
         self.levels: list[dict[str, np.ndarray]] = []
         below = None
         for order in range(ORDER + 1):
-            g, c = _sums((low_keys if order < 2 else keys) & _mask(order + 1), low_n if order < 2 else n)
+            g, c = _sums((low_keys if order < LOW else keys) & _mask(order + 1), low_n if order < LOW else n)
             ctx, first = np.unique(g >> U64(BITS), return_index=True)
             of = np.repeat(np.arange(len(ctx)), np.diff(np.append(first, len(g))))
             total = np.add.reduceat(c, first) if len(first) else c
@@ -234,98 +244,187 @@ class Trie:
         return out
 
 
-def _slices(model: DataFrame, most: int) -> tuple[np.ndarray, int]:
-    """Slice of each pair of last context symbols, so that slices hold about ``most`` grams."""
-    pair = F.expr(f"shiftrightunsigned(key, {BITS}) & {(1 << 2 * BITS) - 1}")
-    sizes = model.filter("kind = 0").groupBy(pair.alias("pair")).count().collect()
-    where, i, held = np.zeros(1 << (2 * BITS), np.int32), 0, 0
-    for r in sorted(sizes, key=lambda r: r.pair):
-        if held and held + r["count"] > most:
-            i, held = i + 1, 0
-        where[r.pair] = i
-        held += r["count"]
-    return where, i + 1
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
-def scores(docs: DataFrame, train: DataFrame, slice_grams: int = SLICE_GRAMS) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score and score of every document, learnt from the texts of ``train``."""
-    spark = docs.sparkSession
-    model = cut(counts(train))
-    n, v = (model.filter("kind = 1").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"))).first()
-    low = model.filter("kind = 0").groupBy(F.expr(f"key & {(1 << 2 * BITS) - 1}").alias("key")).agg(F.sum("n").alias("n")).toArrow()
-    low_keys, low_n = low.column("key").to_numpy().view(np.uint64), low.column("n").to_numpy()
-    where, gram_slices = _slices(model, slice_grams)
-    word_slices = -(-v // slice_grams) or 1
-    passes = max(gram_slices, word_slices)
-    pairs = spark.createDataFrame(((int(p), int(where[p])) for p in np.flatnonzero(where)), "pair long, slice int") if gram_slices > 1 else None
-    parts = []
-    for i in range(passes):
-        g = model.filter("kind = 0")
-        if pairs is not None:
-            pair = F.expr(f"shiftrightunsigned(key, {BITS}) & {(1 << 2 * BITS) - 1}")
-            g = g.withColumn("pair", pair).join(pairs, "pair", "left").filter(F.coalesce("slice", F.lit(0)) == i)
-        own = g.select("key", "n").toArrow() if i < gram_slices else None
-        w = model.filter("kind = 1").filter(F.pmod(F.xxhash64("key"), F.lit(word_slices)) == i).select("key", "n").toArrow() if i < word_slices else None
-        shared = spark.sparkContext.broadcast([_compact(own), (low_keys, low_n), _compact(w), where if gram_slices > 1 else None, i, passes])
-        parts.append(_pass(docs, shared))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    if passes > 1:  # rows that repeat an id and text have equal parts
-        every = every.groupBy("doc_id", "th", "n_tokens").agg(*[(F.sum(c) * passes / F.count("*")).alias(c) for c in ("n_known", "log_counts", "score")], F.expr(f"explode(sequence(1, cast(count(*) / {passes} as int)))").alias("__i"))
-    base = F.col("log_counts") - F.col("n_tokens") * F.lit(float(np.log10(n + v + 1.0)))
-    return every.select("doc_id", "n_tokens", F.col("n_known").cast("long").alias("n_known"), F.lit(int(n)).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+def _word_tokens(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
+    """Every document's words, then its end, and each document's first token (docs + 1 entries)."""
+    h, word = words(c)
+    at = word + np.arange(c.docs + 1)
+    is_end = np.zeros(len(h) + c.docs, bool)
+    is_end[at[1:] - 1] = True
+    tokens = np.empty(len(is_end), np.uint64)
+    tokens[is_end], tokens[~is_end] = END_WORD, h
+    return tokens, at
 
 
-def _compact(t: pa.Table | None) -> tuple[np.ndarray, np.ndarray] | None:
-    """Keys and counts as they travel; the tables over them are several times larger and built where they are used."""
-    if t is None:
-        return None
-    n = t.column("n").to_numpy()
-    return t.column("key").to_numpy().view(np.uint64), n.astype(np.uint32) if not len(n) or n.max() < 1 << 32 else n
+_BLOB = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("slice", pa.int32()), ("m", pa.int32()), ("keys", pa.binary()), ("n", pa.binary())])
 
 
-def _tables(shared):
-    """Trie and word table of a broadcast slice."""
-    if _built[0] is not shared.value:
-        own, low, w, *_, passes = shared.value
-        _built[:] = [None, None]
-        trie = Trie(own[0], own[1].astype(np.int64), *low) if own is not None else None
-        table = HashTable(*w) if w is not None else None
-        _built[:] = [shared.value, (trie, table)]
+def _parts(slices: int):
+    """From rows sorted by part: the part's distinct keys by kind (0 grams, 1 words) and slice, with their counts in training texts."""
+
+    def blobs(part: int, tallies: tuple[Tally, Tally]) -> Iterator[pa.RecordBatch]:
+        for kind, t in enumerate(tallies):
+            t.merge()
+            own = _slice_of(kind, t.keys, slices)
+            order = np.argsort(own, kind="stable")
+            edges = np.searchsorted(own[order], np.arange(slices + 1))
+            rows = []
+            for i in np.flatnonzero(np.diff(edges)).tolist():
+                pick = order[edges[i] : edges[i + 1]]
+                rows.append((part, kind, i, len(pick), _packed_keys(t.keys[pick]), packed(t.counts[pick])))
+                if len(rows) == 64:
+                    yield _batch(rows, _BLOB)
+                    rows = []
+            if rows:
+                yield _batch(rows, _BLOB)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, tallies = None, None
+        for b in batches:
+            parts = b.column("part").to_numpy()
+            for lo, hi in _runs(parts):
+                if parts[lo] != part:
+                    if tallies:
+                        yield from blobs(part, tallies)
+                    part, tallies = int(parts[lo]), (Tally(), Tally())
+                own = b.slice(lo, hi - lo)
+                learns = own.column("learns").to_numpy(zero_copy_only=False).astype(np.int64)
+                for c in chunks(own.column("text")):
+                    weight = learns[c.first : c.first + c.docs]
+                    key, first = grams(c)
+                    tallies[0].add(key, np.repeat(weight, np.diff(first)))
+                    token, first = _word_tokens(c)
+                    tallies[1].add(token, np.repeat(weight, np.diff(first)))
+        if tallies:
+            yield from blobs(part, tallies)
         trim()
-        if passes == 1:  # with more, tasks of another slice may come between, and build these again
-            shared.value[0] = shared.value[2] = None
-    return _built[1]
 
+    return run
+
+
+def _runs(x: np.ndarray) -> list[tuple[int, int]]:
+    """Starts and ends of runs of equal values."""
+    if not len(x):
+        return []
+    edges = np.flatnonzero(np.diff(x)) + 1
+    return list(zip([0, *edges.tolist()], [*edges.tolist(), len(x)], strict=True))
+
+
+_MODEL = pa.schema([("kind", pa.int32()), ("slice", pa.int32()), ("m", pa.int32()), ("keys", pa.binary()), ("n", pa.binary()), ("total", pa.int64())])
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From blobs sorted by kind and slice: each slice's keys seen in training, and their counts over all parts."""
+
+    def model(at: tuple[int, int], t: Tally) -> pa.RecordBatch:
+        t.merge()
+        seen = t.counts > 0
+        return _batch([(*at, int(seen.sum()), _packed_keys(t.keys[seen]), packed(t.counts[seen]), int(t.counts.sum()))], _MODEL)
+
+    at, tally = None, Tally()
+    for b in batches:
+        for r in b.to_pylist():
+            if (r["kind"], r["slice"]) != at:
+                if at:
+                    yield model(at, tally)
+                at, tally = (r["kind"], r["slice"]), Tally()
+            tally.add(_unpacked_keys(r["keys"], r["m"]), unpacked(r["n"], r["m"]).astype(np.int64))
+    if at:
+        yield model(at, tally)
+
+
+def _low_orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for r in b.to_pylist():
+            k, n = _sums(_unpacked_keys(r["keys"], r["m"]) & _mask(LOW), unpacked(r["n"], r["m"]).astype(np.int64))
+            yield pa.record_batch([pa.array(k.view(np.int64)), pa.array(n)], names=["key", "n"])
+
+
+_ANSWER = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("m", pa.int32()), ("keys", pa.binary()), ("n", pa.binary())])
+
+
+def _answers(shared):
+    """From each slice's model and then its blobs: the blobs with log10 probabilities (grams) or counts (words) in place of their own counts."""
 
-def _pass(docs: DataFrame, shared) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (trie, table), (*_, where, i, _) = _tables(shared), shared.value
+        low, at, model = shared.value, None, None
+
+        def opened(kind: int, keys: np.ndarray, n: np.ndarray):
+            return Trie(keys, n.astype(np.int64), *low) if kind == 0 else HashTable(keys, n.astype(np.int64))
+
+        none = np.zeros(0, np.uint64)
         for b in batches:
+            for r in b.to_pylist():
+                here = (r["kind"], r["slice"])
+                if here != at:
+                    at, model = here, None
+                keys = _unpacked_keys(r["keys"], r["m"])
+                if not r["ord"]:
+                    model = opened(r["kind"], keys, unpacked(r["n"], r["m"]))
+                    continue
+                model = model or opened(r["kind"], none, none)
+                out = model.log10(keys).astype(np.float32).tobytes() if r["kind"] == 0 else packed(model.get(keys)[0])
+                yield _batch([(r["part"], r["kind"], r["m"], r["keys"], out)], _ANSWER)
+        del model
+        trim()
+
+    return run
+
+
+def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From each part's answers and then its texts: the texts' sums."""
+    part, answers, tables = None, ([], []), None
+    for b in batches:
+        parts, texts = b.column("part").to_numpy(), b.column("ord").to_numpy()
+        for lo, hi in _runs(parts.astype(np.int64) * 2 + texts):
+            own = b.slice(lo, hi - lo)
+            if parts[lo] != part:
+                part, answers, tables = parts[lo], ([], []), None
+            if not texts[lo]:
+                for r in own.select(["kind", "m", "keys", "n"]).to_pylist():
+                    value = np.frombuffer(r["n"], np.float32) if r["kind"] == 0 else unpacked(r["n"], r["m"]).astype(np.int64)
+                    answers[r["kind"]].append((_unpacked_keys(r["keys"], r["m"]), value))
+                continue
+            if tables is None:
+                tables = [HashTable(np.concatenate([k for k, _ in x]), np.concatenate([v for _, v in x])) for x in answers]
+                answers = ([], [])
             out = []
-            for c in chunks(b.column("text")):
+            for c in chunks(own.column("text")):
                 key, first = grams(c)
-                lp = np.zeros(len(key))
-                if trie is not None and where is None:
-                    lp = trie.log10(key)
-                elif trie is not None:
-                    own = np.flatnonzero(where[((key >> U64(BITS)) & _mask(2)).astype(np.int64)] == i)
-                    lp[own] = trie.log10(key[own])
-                h, word = words(c)
-                logs, known = np.zeros(len(h) + c.docs), np.zeros(len(h) + c.docs, np.int64)
-                at = word + np.arange(c.docs + 1)  # every document's words, then its end
-                is_end = np.zeros(len(logs), bool)
-                is_end[at[1:] - 1] = True
-                tokens = np.empty(len(logs), np.uint64)
-                tokens[is_end], tokens[~is_end] = END_WORD, h
-                if table is not None:
-                    values, found = table.get(tokens)
-                    logs, known = np.log10(values + 1.0), found.astype(np.int64)
-                out.append((np.diff(at), np.add.reduceat(known, at[:-1]), np.add.reduceat(logs, at[:-1]), np.add.reduceat(lp, first[:-1])))
-            if out:
-                n, k, l, s = (np.concatenate(x) for x in zip(*out, strict=True))
-                yield pa.record_batch([b.column("doc_id"), b.column("th"), pa.array(n), pa.array(k), pa.array(l), pa.array(s)], names=["doc_id", "th", "n_tokens", "n_known", "log_counts", "score"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-    return rows.mapInArrow(run, "doc_id long, th long, n_tokens long, n_known long, log_counts double, score double")
+                token, at = _word_tokens(c)
+                n = tables[1].get(token)[0]
+                lp = tables[0].get(key)[0].astype(np.float64)
+                out.append((np.diff(at), np.add.reduceat((n > 0).astype(np.int64), at[:-1]), np.add.reduceat(np.log10(n + 1.0), at[:-1]), np.add.reduceat(lp, first[:-1])))
+            n, k, l, s = (np.concatenate(x) for x in zip(*out, strict=True))
+            yield pa.record_batch([own.column("doc_id"), pa.array(n), pa.array(k), pa.array(l), pa.array(s)], names=["doc_id", "n_tokens", "n_known", "log_counts", "score"])
+    del tables, answers
+    trim()
+
+
+def scores(docs: DataFrame, learns: Column, part_bytes: int = PART_BYTES, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score and score of every document, learnt from the texts of the rows where ``learns`` holds."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(learns, F.lit(False)).alias("learns"), "text")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts, slices = size // part_bytes + 1, min(MOST_SLICES, size // slice_bytes + 1)
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int"))
+    blobs = cut(rows.drop("doc_id").repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_parts(slices), "part int, kind int, slice int, m int, keys binary, n binary"))
+    by_slice = blobs.repartition(2 * slices, "kind", "slice").sortWithinPartitions("kind", "slice")
+    model = cut(by_slice.mapInArrow(_summed, "kind int, slice int, m int, keys binary, n binary, total long"))
+    n, v = model.filter("kind = 1").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("m"), F.lit(0))).first()
+    low = model.filter("kind = 0").mapInArrow(_low_orders, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    shared = spark.sparkContext.broadcast((low.column("key").to_numpy().view(np.uint64), low.column("n").to_numpy()))
+    first = model.select("kind", "slice", F.lit(0).alias("ord"), F.lit(0).alias("part"), "m", "keys", "n")
+    asked = first.unionByName(blobs.select("kind", "slice", F.lit(1).alias("ord"), "part", "m", "keys", F.lit(None).cast("binary").alias("n")))
+    asked = asked.repartition(2 * slices, "kind", "slice").sortWithinPartitions("kind", "slice", "ord")
+    answers = asked.mapInArrow(_answers(shared), "part int, kind int, m int, keys binary, n binary")
+    nothing = {c: F.lit(None).cast(t).alias(c) for c, t in (("kind", "int"), ("m", "int"), ("keys", "binary"), ("n", "binary"), ("doc_id", "long"), ("text", "string"))}
+    met = answers.select("part", F.lit(0).alias("ord"), "kind", "m", "keys", "n", nothing["doc_id"], nothing["text"])
+    met = met.unionByName(rows.select("part", F.lit(1).alias("ord"), *[nothing[c] for c in ("kind", "m", "keys", "n")], "doc_id", "text"))
+    out = met.repartition(parts, "part").sortWithinPartitions("part", "ord").mapInArrow(_scored, "doc_id long, n_tokens long, n_known long, log_counts double, score double")
+    base = F.col("log_counts") - F.col("n_tokens") * F.lit(float(np.log10(n + v + 1.0)))
+    return out.select("doc_id", "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), base.alias("base_score"), "score")

@@ -55,8 +55,7 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = tables(spark, sf_dir, "documents")
     held_out = ppm.held_out(F.col("doc_id"))
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    out = ppm.scores(ids, ids.filter(~held_out))
+    out = ppm.scores(docs, ~held_out)
     return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

@@ -294,8 +294,8 @@ def _ppm_probability(counts, context, symbol):
     return p / (ppm.SYMBOLS - len(seen))
 
 
-@pytest.mark.parametrize("slices", [ppm.SLICE_GRAMS, 20])
-def test_ppm(spark, slices):
+@pytest.mark.parametrize("sizes", [(ppm.PART_BYTES, ppm.SLICE_BYTES), (20, 9)])
+def test_ppm(spark, sizes):
     texts = [(1, "abracadabra abra"), (2, "the cat é sat"), (3, "the the cat"), (16, "zqz the cat x"), (5, None), (6, ""), (1, "abracadabra abra"), (None, "the cat")]
     rows = frame(spark, [(i, t, "s") for i, t in texts])
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
@@ -315,12 +315,12 @@ def test_ppm(spark, slices):
     for i, t in texts:
         w, s = [*brute.words(t), None], symbols(t)
         want.append((i, len(w), sum(x in vocabulary for x in w), n, sum(np.log10((vocabulary[x] + 1) / (n + v + 1)) for x in w), sum(np.log10(_ppm_probability(counts, s[p - ppm.ORDER : p], s[p])) for p in range(ppm.ORDER, len(s)))))
-    out = [tuple(r) for r in ppm.scores(rows, rows.where(~ppm.held_out(F.col("doc_id"))), slices).collect()]
+    out = [tuple(r) for r in ppm.scores(rows, ~ppm.held_out(F.col("doc_id")), *sizes).collect()]
     by = lambda r: (str(r[0]), r[1])
     for a, b in zip(sorted(out, key=by), sorted(want, key=by), strict=True):
         assert a[:4] == b[:4] and a[4] == pytest.approx(b[4]) and a[5] == pytest.approx(b[5], rel=1e-5)
-    assert ppm.scores(rows.where("false"), rows).collect() == []
-    assert all(np.isfinite(r.score) for r in ppm.scores(rows, rows.where("false")).collect())
+    assert ppm.scores(rows.where("false"), F.lit(True)).collect() == []
+    assert all(np.isfinite(r.score) for r in ppm.scores(rows, F.lit(False)).collect())
 
 
 def test_toxicity_finds_held_out_stems(spark):
