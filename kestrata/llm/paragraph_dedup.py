@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._graph import connected_components
+from ._sieve import may_join
 from ._spark import cut, written
 from ._text import _R, _R_INV, U64, Chunk, chunks, fmix, hash_ranges, powers, shingles_of, signed, spans
 from ._verify import links
@@ -156,12 +157,14 @@ def _band_rows(docs: DataFrame, k: int, n_bands: int) -> DataFrame:
     salts = [int(x) for x in fmix(np.arange(1, n_bands * ROWS_PER_BAND + 1, dtype=np.uint64))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Seen()
         for b in batches:
             for c in chunks(b.column("text")):
                 v, offsets, hi, *_ = _sets(c, k)
-                if not len(hi):
+                one = seen.first(hi)
+                if not len(one):
                     continue
-                hi, one = np.unique(hi, return_index=True)
+                hi = hi[one]
                 sig = []
                 for band in range(n_bands):
                     total = np.zeros(len(hi), np.uint64)
@@ -209,7 +212,8 @@ def _runs(c: Chunk):
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """anchor, name of the line it stands in, and whether it stands there more than once."""
+    """anchor, name of the line it stands in, and whether it stands there more than once; lines alike in a task count once."""
+    seen = Seen()
     for b in batches:
         for c in chunks(b.column("text")):
             h, _, _, at, line, starts, ends, _, anchor, g = _runs(c)
@@ -225,12 +229,14 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             new = np.ones(len(a), bool)
             new[1:] = (a[1:] != a[:-1]) | (number[1:] != number[:-1])
             twice = np.diff(np.append(np.flatnonzero(new), len(a))) > 1
-            number = number[new]
-            yield pa.record_batch([pa.array(signed(a[new])), pa.array(signed(_hashes(h, starts[number], ends[number]))), pa.array(twice)], names=["a", "name", "twice"])
+            number, a = number[new], a[new]
+            name = _hashes(h, starts[number], ends[number])
+            one = seen.first(fmix(name) + a)
+            yield pa.record_batch([pa.array(signed(a[one])), pa.array(signed(name[one])), pa.array(twice[one])], names=["a", "name", "twice"])
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (a, name, twice) sorted, (a, name) of anchors that stand in several lines or twice in one; some repeat."""
+    """From (a, name, twice) sorted, (a, name) of anchors that stand in several lines, or twice in one; some repeat."""
     last, lead = None, 0
     for b in batches:
         if not b.num_rows:
@@ -292,11 +298,38 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.filter(pa.array(~same)).select(["doc_id", "th", "b0", "b1"])
 
 
+def _with_wanted(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The texts that ``wanted`` (doc_id, th, wanted) asks for; only those are shuffled."""
+    docs = may_join(docs, wanted, ["doc_id", "th"])
+    return docs.join(wanted, (docs["th"] == wanted["th"]) & docs["doc_id"].eqNullSafe(wanted["doc_id"])).select(docs["doc_id"], docs["th"], "wanted", "text")
+
+
+class Seen:
+    """Which 64-bit names a task meets for the first time; forgets all of them beyond ``most``."""
+
+    def __init__(self, most: int = 1 << 20) -> None:
+        self.most, self.names, self.held = most, np.zeros(0, np.uint64), []
+
+    def first(self, names: np.ndarray) -> np.ndarray:
+        """Indexes of the names not seen before, one of each."""
+        names, at = np.unique(names, return_index=True)
+        new = np.ones(len(names), bool)
+        for known in (self.names, *self.held):
+            if len(known):
+                new &= known[np.minimum(np.searchsorted(known, names), len(known) - 1)] != names
+        self.held.append(names[new])
+        if len(self.held) == 16:
+            self.names, self.held = np.unique(np.concatenate([self.names, *self.held])), []
+            if len(self.names) > self.most:
+                self.names = self.names[:0]
+        return at[new]
+
+
 def repeated_passages(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """lines (name, doc_id, th, b0) that stay -> doc_id, th, b0, b1 of every run of ``PASSAGE`` words at another than its first place in them."""
     met = docs.select("text").mapInArrow(_anchors, "a long, name long, twice boolean").repartition("a").sortWithinPartitions("a", "name").mapInArrow(_met, "a long, name long")
     wanted = cut(met.join(lines, "name").groupBy("doc_id", "th").agg(F.collect_set(F.struct("b0", "a")).alias("wanted")))
-    texts = docs.join(wanted, (docs["th"] == wanted["th"]) & docs["doc_id"].eqNullSafe(wanted["doc_id"])).select(docs["doc_id"], docs["th"], "wanted", "text")
+    texts = _with_wanted(docs, wanted)
     runs = texts.mapInArrow(_wanted_runs, "g long, doc_id long, th long, b0 int, b1 int")
     return runs.repartition("g").sortWithinPartitions("g", "doc_id", "th", "b0").mapInArrow(_later, "doc_id long, th long, b0 int, b1 int")
 
@@ -329,8 +362,8 @@ def repeated_paragraphs(docs: DataFrame, k: int = 5, num: int = 80, den: int = 1
     here = F.struct("doc_id", "th", "b0")
     firsts = (F.min(here).alias("first"), F.min(F.when(F.col("kind") > 0, here)).alias("line"))
     sets = cut(units.filter("kind >= 0").groupBy("hi", "lo").agg(F.count("*").alias("n"), *firsts).join(groups, "hi", "left").filter("n > 1 or grp is not null"))
-    wanted = sets.filter("grp is not null").groupBy("first.doc_id", "first.th").agg(F.collect_list(F.struct("hi", "lo", "grp")).alias("wanted"))
-    texts = docs.join(wanted, (docs["th"] == wanted["th"]) & docs["doc_id"].eqNullSafe(wanted["doc_id"])).select("wanted", "text")
+    wanted = cut(sets.filter("grp is not null").groupBy("first.doc_id", "first.th").agg(F.collect_list(F.struct("hi", "lo", "grp")).alias("wanted")))
+    texts = _with_wanted(docs, wanted).select("wanted", "text")
     found = cut(links(texts.mapInArrow(_tokens(k), "grp long, id long, weight long, tokens array<long>"), num, den).select("a", "b").filter("a != b"))
     component = connected_components(found).select(F.col("node").alias("hi"), "component")
     named = sets.join(component, "hi", "left").withColumn("component", F.coalesce("component", "hi"))
