@@ -5,17 +5,21 @@ off a suffix array: equal prefixes stand next to each other.  Sorting every
 suffix of a corpus as one text would write many times its size, so the corpus
 is first cut where equal strings are sure to meet.  In each string the gram
 with the least hash is its anchor, which depends on the string's bytes only;
-the starts that share an anchor form a context, keyed by the hash of a core of
-bytes that all of its strings contain.  Equal strings have equal keys, hence:
-
-* a key that occurs once has no repeated string, and its rows go no further;
-* equal contexts repeat as a whole, and one of them stands for the rest;
+the starts that have one anchor at a distance of one cell of distances form a
+context, keyed by the hash of a core of bytes that all strings of the cell
+contain.  Equal strings have equal keys, hence:
+
+* keys are counted first, combined before the shuffle; a key that occurs once
+  has no repeated string, and its context goes no further;
+* equal contexts (by a 128-bit digest of their bytes) repeat as a whole, and
+  one of them stands for the rest;
 * the distinct contexts of a key meet in one task, which sorts their suffixes
   (``_dc3``: sampled triples, recursion on names, merge) to ``length`` symbols
   and compares adjacent prefixes byte by byte.
 
-A key whose distinct contexts outgrow a task's bound is settled exactly by
-counting the hashes of its single strings instead, which no task gathers.
+A key whose distinct contexts outgrow ``group_bytes`` is halved: its cell of
+distances becomes two, with longer cores and so with fewer contexts each, down
+to cells of one distance, where a key is one string.
 
 Defined results: null and empty texts have no bytes; texts shorter than
 ``length`` lose nothing; repeated rows repeat each other's strings; an empty
@@ -25,6 +29,7 @@ table gives no rows; further columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,12 +38,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._dc3 import suffix_array
+from ._sieve import BITS, bitmap, may_join, parted, taken
 from ._spark import cut
 from ._text import U64, Chunk, chunks, fmix, hash_ranges, powers, signed, _R_INV
 
 GRAM = 32
 BATCH_BYTES = 1 << 20
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 2 << 20
 _POS = np.uint64((1 << 30) - 1)
 
 
@@ -69,64 +75,101 @@ def _anchors(c: Chunk, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return at[new], starts[new], starts[last], h
 
 
-def _contexts(c: Chunk, length: int) -> dict[str, np.ndarray]:
-    """Contexts of a chunk: document, first and last start (within the chunk), key and name; ``n`` equal ones in a row, the last of which ends at start ``to``."""
+def _halved(p, a, b, d0, d1, *more):
+    """Contexts (anchor p, starts a..b, distances d0 <= p - start < d1) with their cells of distances halved; cells of one distance stay."""
+    mid = (d0 + d1) // 2
+    out = [np.concatenate(x) for x in ((p, p), (np.maximum(a, p - mid + 1), np.maximum(a, p - d1 + 1)), (np.minimum(b, p - d0), np.minimum(b, p - mid)), (d0, mid), (mid, d1), *zip(more, more, strict=True))]
+    some = out[1] <= out[2]
+    return [x[some] for x in out]
+
+
+def _keys(h: np.ndarray, p, d0, d1, length: int) -> np.ndarray:
+    """Hashes of the cores, the bytes that all strings of a cell contain."""
+    return fmix(hash_ranges(h, p - d0, p - d1 + 1 + length) + (d0 * 1024 + d1).astype(np.uint64))
+
+
+def _cells(c: Chunk, length: int, level: int):
+    """Contexts of cells halved ``level`` times: anchor, first and last start, least distance, the one after the greatest, and number; and the prefix hash."""
     p, lo, hi, h = _anchors(c, length)
-    side = (length - GRAM) // 2
-    out = []
-    for left in (True, False):
-        a = lo if left else np.maximum(lo, p - side + 1)
-        b = np.minimum(hi, p - side) if left else hi
-        ok = a <= b
-        q, a, b = p[ok], a[ok], b[ok]
-        core = (q - side, q + GRAM) if left else (q, q + GRAM + side)
-        key = fmix(hash_ranges(h, *core) + U64(1 + left))
-        name = fmix(hash_ranges(h, a, b + length) ^ fmix(((q - a) * (1 << 32) + (b - a) * 2 + left).astype(np.uint64)))
-        # periodic text repeats one context from period to period: one row stands for such a run
-        doc = np.searchsorted(c.at, a, "right") - 1
-        new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (name[1:] != name[:-1]) | (doc[1:] != doc[:-1]) | (a[1:] > b[:-1] + length)])) if len(a) else np.zeros(0, np.int64)
-        last = np.append(new[1:], len(a))[: len(new)] - 1
-        out.append((doc[new], a[new], b[new], b[last], last - new + 1, key[new], name[new]))
-    doc, a, b, to, n, key, name = (np.concatenate(x) for x in zip(*out, strict=True))
-    return {"doc": doc, "lo": a, "hi": b, "to": to, "n": n, "key": key, "name": name}
-
-
-_ROW = "key long, name long, doc_id long, th long, lo int, hi int, to int, n int"
-_NAMES = ["key", "name", "doc_id", "th", "lo", "hi", "to", "n"]
-
-
-def _scan(length: int):
+    x = [p, lo, hi, np.zeros(len(p), np.int64), np.full(len(p), length - GRAM + 1), np.ones(len(p), np.int64)]
+    for _ in range(level):
+        x = _halved(*x)
+    return x, h
+
+
+def _places(length: int):
+    """Key, the place of its leading bits in a bitmap, and number, of each distinct key of a chunk."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, th = b.column("doc_id").cast(pa.int64()), b.column("th")
             for c in chunks(b.column("text")):
-                x = _contexts(c, length)
-                if len(x["key"]):
-                    at = pa.array(x["doc"] + c.first)
-                    base = c.at[x["doc"]]
-                    yield pa.record_batch([pa.array(signed(x["key"])), pa.array(signed(x["name"])), ids.take(at), th.take(at), *[pa.array((x[f] - base).astype(np.int32)) for f in ("lo", "hi", "to")], pa.array(x["n"].astype(np.int32))], names=_NAMES)
+                (p, _, _, d0, d1, _), h = _cells(c, length, 1)
+                if len(p):
+                    key, n = np.unique(_keys(h, p, d0, d1, length), return_counts=True)
+                    yield pa.record_batch([pa.array(signed(key)), pa.array((key >> U64(64 - BITS)).astype(np.int64)), pa.array(n)], names=["key", "p", "n"])
 
     return run
 
 
-def _repeated_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by key, those whose key occurs more than once; holds back one row at a time."""
-    held, known = None, False
-    for b in batches:
-        if not b.num_rows:
-            continue
-        t = pa.Table.from_batches([b] if held is None else [held, b]).combine_chunks()
-        k = t.column("key").to_numpy()
-        same = k[1:] == k[:-1]
-        dup = t.column("n").to_numpy() > 1
-        dup[1:] |= same
-        dup[:-1] |= same
-        dup[0] |= known
-        out = t.slice(0, len(k) - 1).filter(pa.array(dup[:-1]))
-        yield from out.to_batches()
-        held, known = t.slice(len(k) - 1).to_batches()[0], bool(dup[-1])
-    if held is not None and known:
-        yield held
+def _named(c: Chunk, x: list[np.ndarray], key: np.ndarray, length: int) -> dict[str, np.ndarray]:
+    """Rows of contexts: document, first and last start (within the chunk), key and name; ``n`` equal ones in a row, the last of which ends at start ``to``."""
+    order = np.lexsort((x[1], x[3]))
+    p, a, b, d0, _, n = (y[order] for y in x)
+    key, raw = key[order], memoryview(c.buf)
+    # where the strings lie about the anchor is part of the name
+    digests = [hashlib.blake2b(raw[i : j + length], digest_size=16, person=struct.pack("<ii", q - i, j - i)).digest() for q, i, j in zip(p.tolist(), a.tolist(), b.tolist(), strict=True)]
+    name = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+    # periodic text repeats one context from period to period: one row stands for such a run
+    doc = np.searchsorted(c.at, a, "right") - 1
+    new = np.ones(len(a), bool)
+    new[1:] = (key[1:] != key[:-1]) | (name[1:] != name[:-1]).any(axis=1) | (doc[1:] != doc[:-1]) | (d0[1:] != d0[:-1]) | (a[1:] > b[:-1] + length)
+    new = np.flatnonzero(new)
+    last = np.append(new[1:], len(a)) - 1
+    return {"doc": doc[new], "lo": a[new], "hi": b[new], "to": b[last], "n": np.add.reduceat(n, new) if len(new) else n, "key": key[new], "x": name[new, 0], "y": name[new, 1]}
+
+
+_ROW = "key long, x long, y long, doc_id long, th long, lo int, hi int, to int, n int"
+_NAMES = ["key", "x", "y", "doc_id", "th", "lo", "hi", "to", "n"]
+
+
+def _row_batch(c: Chunk, r: dict[str, np.ndarray], ids: pa.Array, th: pa.Array) -> pa.RecordBatch:
+    at, base = pa.array(r["doc"] + c.first), c.at[r["doc"]]
+    return pa.record_batch([pa.array(signed(r["key"])), pa.array(r["x"]), pa.array(r["y"]), ids.take(at), th.take(at), *[pa.array((r[f] - base).astype(np.int32)) for f in ("lo", "hi", "to")], pa.array(r["n"].astype(np.int32))], names=_NAMES)
+
+
+def _scan(length: int, shared):
+    """The contexts whose key may occur more than once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for c in chunks(b.column("text")):
+                x, h = _cells(c, length, 1)
+                key = _keys(h, x[0], x[3], x[4], length)
+                hit = taken(shared.value, (key >> U64(64 - BITS)).astype(np.int64))
+                if hit.any():
+                    yield _row_batch(c, _named(c, [y[hit] for y in x], key[hit], length), b.column("doc_id"), b.column("th"))
+
+    return run
+
+
+def _finer(length: int, level: int):
+    """The halves of the wanted contexts of ``level``, each as often as its whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, wanted in enumerate(b.column("wanted").to_pylist()):
+                own = b.slice(i, 1)
+                for c in chunks(own.column("text")):
+                    x, h = _cells(c, length, level)
+                    key = signed(_keys(h, x[0], x[3], x[4], length)).tolist()
+                    of = {(w["key"], w["lo"], w["hi"]): w["n"] for w in wanted}
+                    x[5] = np.array([of.get(k, 0) for k in zip(key, x[1].tolist(), x[2].tolist(), strict=True)], np.int64)
+                    some = x[5] > 0
+                    y = _halved(*[z[some] for z in x])
+                    if len(y[0]):
+                        yield _row_batch(c, _named(c, y, _keys(h, y[0], y[3], y[4], length), length), own.column("doc_id"), own.column("th"))
+
+    return run
 
 
 def repeated_starts(texts: list[bytes], length: int) -> list[np.ndarray]:
@@ -154,11 +197,11 @@ def repeated_starts(texts: list[bytes], length: int) -> list[np.ndarray]:
     return [np.flatnonzero(found[a : a + n]) for a, n in zip(at[:-1], sizes, strict=True)]
 
 
-_SPAN = pa.schema([("kind", pa.int32()), ("hash", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
+_SPAN = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
 
 
-def _sorted_groups(length: int, batch_bytes: int, group_bytes: int):
-    """Over contexts sorted by key: spans of repeated strings (kind 0), or for oversized keys every single string's hash (kind 1)."""
+def _sorted_groups(length: int, batch_bytes: int):
+    """Over contexts sorted by key: the spans of the repeated strings of those that occur once."""
 
     def settle(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         if len(rows) < 2:
@@ -169,38 +212,24 @@ def _sorted_groups(length: int, batch_bytes: int, group_bytes: int):
                 cuts = np.flatnonzero(np.diff(starts) > 1)
                 first = starts[np.concatenate([[0], cuts + 1])]
                 last = starts[np.concatenate([cuts, [len(starts) - 1]])]
-                out += [(0, None, doc, th, lo + int(a), lo + int(b) + length) for a, b in zip(first, last, strict=True)]
+                out += [(doc, th, lo + int(a), lo + int(b) + length) for a, b in zip(first, last, strict=True)]
         if out:
             yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), _SPAN, strict=True)], schema=_SPAN)
 
-    def single(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        for _, doc, th, lo, _, text in rows:
-            buf = np.frombuffer(text, np.uint8)
-            at = np.arange(len(buf) - length + 1)
-            h = hash_ranges(Chunk(0, buf, np.array([0, len(buf)])).prefix_hash(False), at, at + length)
-            k = len(at)
-            yield pa.record_batch([pa.array(np.ones(k, np.int32)), pa.array(signed(h)), pa.array([doc] * k, pa.int64()), pa.array([th] * k, pa.int64()), pa.array(lo + at), pa.array(lo + at + length)], schema=_SPAN)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: list[tuple] = []  # whole groups
         group: list[tuple] = []  # the group being read
-        held = size = 0
-        key, large = None, False
+        held, key = 0, None
         for b in batches:
             for r in zip(*[b.column(c).to_pylist() for c in ("key", "doc_id", "th", "lo", "n", "part")], strict=True):
                 if r[0] != key:
                     done += group
-                    held += size
-                    group, size, large, key = [], 0, False, r[0]
+                    held += sum(len(x[5]) for x in group)
+                    group, key = [], r[0]
                     if held >= batch_bytes:
                         yield from settle(done)
                         done, held = [], 0
                 group.append(r)
-                size += len(r[5])
-                large |= size > group_bytes
-                if large:
-                    yield from single(group)
-                    group, size = [], 0
         yield from settle(done + group)
 
     return run
@@ -235,25 +264,40 @@ def _same_row(a: DataFrame, b: DataFrame):
     return (a["th"] == b["th"]) & a["doc_id"].eqNullSafe(b["doc_id"])
 
 
+def _wanted(contexts: DataFrame) -> DataFrame:
+    """named contexts -> doc_id, th and the list of those that represent them in that text."""
+    rows = contexts.select("one.doc_id", "one.th", F.struct("key", "one.lo", "one.hi", "n").alias("w"))
+    return cut(rows.groupBy("doc_id", "th").agg(F.collect_list("w").alias("wanted")))
+
+
+def _asked(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    docs = may_join(docs, wanted, ["doc_id", "th"])
+    return docs.join(wanted, _same_row(docs, wanted)).select(docs["doc_id"], docs["th"], "wanted", "text")
+
+
 def repeated_spans(docs: DataFrame, length: int = 400, batch_bytes: int = BATCH_BYTES, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """doc_id, th (hash of the text) and the repeated byte spans (start, stop) of the documents that have any."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text").filter(F.octet_length("text") >= length)
-    rows = docs.mapInArrow(_scan(length), _ROW).repartition("key").sortWithinPartitions("key").mapInArrow(_repeated_keys, _ROW)
-    rows = cut(rows)
-    named = rows.groupBy("key", "name").agg(F.sum("n").alias("n"), F.min(F.struct("doc_id", "th", "lo", "hi")).alias("one"))
-    named = cut(named)
-    several = named.groupBy("key").agg(F.count("*").alias("m"), F.min("n").alias("least")).filter("m > 1 and least = 1").select("key")
-    whole = rows.join(named.filter("n > 1").select("key", "name"), ["key", "name"]).select("doc_id", "th", F.col("lo").cast("long").alias("start"), (F.col("to") + length).cast("long").alias("stop"))
-    reps = named.join(several, "key").select("one.doc_id", "one.th", F.struct("key", "one.lo", "one.hi", "n").alias("w"))
-    wanted = reps.groupBy("doc_id", "th").agg(F.collect_list("w").alias("wanted"))
-    parts = docs.join(wanted, _same_row(docs, wanted)).select(docs["doc_id"], docs["th"], "wanted", "text")
-    parts = parts.mapInArrow(_parts(length), "key long, doc_id long, th long, lo int, n long, part binary")
-    parts = parts.repartition("key").sortWithinPartitions("key")
-    found = cut(parts.mapInArrow(_sorted_groups(length, batch_bytes, group_bytes), "kind int, hash long, doc_id long, th long, start long, stop long"))
-    single = found.filter("kind = 1")
-    again = single.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash")
-    spans = whole.unionByName(found.filter("kind = 0").select("doc_id", "th", "start", "stop")).unionByName(single.join(again, "hash").select("doc_id", "th", "start", "stop"))
-    return spans
+    keys = docs.select("text").mapInArrow(_places(length), "key long, p long, n long").groupBy("key", "p").agg(F.sum("n").alias("n"))
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(keys.filter("n > 1")))
+    rows = cut(docs.mapInArrow(_scan(length, shared), _ROW))
+    spans: DataFrame | None = None
+    level = 1
+    while True:
+        named = cut(rows.groupBy("key", "x", "y").agg(F.sum("n").alias("n"), F.min(F.struct("doc_id", "th", "lo", "hi")).alias("one")))
+        whole = rows.join(named.filter("n > 1").select("key", "x", "y"), ["key", "x", "y"]).select("doc_id", "th", F.col("lo").cast("long").alias("start"), (F.col("to") + length).cast("long").alias("stop"))
+        size = F.sum(F.col("one.hi") - F.col("one.lo") + length)
+        several = named.groupBy("key").agg(F.count("*").alias("m"), F.min("n").alias("least"), size.alias("size")).filter("m > 1 and least = 1")
+        several = cut(several.select("key", (F.col("size") > (group_bytes if level < 10 else 1 << 62)).alias("large")))
+        parts = _asked(docs, _wanted(named.join(several.filter("not large"), "key"))).mapInArrow(_parts(length), "key long, doc_id long, th long, lo int, n long, part binary")
+        found = cut(parts.repartition("key").sortWithinPartitions("key").mapInArrow(_sorted_groups(length, batch_bytes), "doc_id long, th long, start long, stop long"))
+        found = whole.unionByName(found)
+        spans = found if spans is None else spans.unionByName(found)
+        large = several.filter("large")
+        if large.isEmpty():
+            return spans
+        rows = cut(_asked(docs, _wanted(named.join(large, "key"))).mapInArrow(_finer(length, level), _ROW))
+        level += 1
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,7 +324,9 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def dedup_digest(docs: DataFrame, length: int = 400) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal runs) and kept_sha256 (the bytes that stay) of every document."""
-    spans = repeated_spans(docs, length).groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    spans = cut(repeated_spans(docs, length).groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "stop")).alias("spans")))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-    rows = docs.join(spans, _same_row(docs, spans), "left").select(docs["doc_id"], "spans", "text")
+    may, rest = parted(docs, spans, ["doc_id", "th"])
+    rows = may.join(spans, _same_row(may, spans), "left").select(may["doc_id"], "spans", "text")
+    rows = rows.unionByName(rest.select("doc_id", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"), "text"))
     return rows.mapInArrow(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
