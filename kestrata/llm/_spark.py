@@ -15,18 +15,26 @@ BATCH_ROWS = 1000
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Let Arrow batches hold some megabytes of text rather than ten thousand whole texts, unless the session says otherwise."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
-        spark.conf.set(name, str(BATCH_ROWS))
+    """Session settings for work on whole texts, where the session has Spark's own defaults.
+
+    Arrow batches hold some megabytes of text rather than ten thousand whole
+    texts, and shuffle files go when the job that wrote them ends: steps are
+    cut by checkpoints and tables, so none is read again.
+    """
+    for name, default, ours in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", str(BATCH_ROWS)), ("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false", "true")):
+        if spark.conf.get(name, None) == default:
+            spark.conf.set(name, ours)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that the cluster names; one of our own only where it names none, as in tests."""
+    """The checkpoint folder that the cluster names; one of our own only in one process that names none, as in tests."""
     small_batches(spark)
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kestrata-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="kestrata-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MEMBERS = 256
+SALTS = 32
 COLUMNS = 1 << 14
 
 _OUT = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
@@ -68,10 +69,13 @@ def links(sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
     |union|, enough of them to connect what links connect; rows with a = b
     carry parts of the number of a's links, each other set counted by weight.
     """
-    sizes = sets.groupBy("grp").agg(F.count("*").alias("__n"))
-    blocks = F.ceil(F.col("__n") / F.lit(MEMBERS)).cast("int")
+    sizes = sets.groupBy("grp").agg(F.count("*").alias("__n")).filter(F.col("__n") > MEMBERS)
+    # the few large groups meet their size under SALTS keys, so that none is one task's work
+    sizes = sizes.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    blocks = F.coalesce(F.ceil(F.col("__n") / F.lit(MEMBERS)), F.lit(1)).cast("int")
     own = F.pmod(F.xxhash64("id"), F.col("__k")).cast("int")
-    dealt = sets.join(sizes, "grp").withColumn("__k", blocks).withColumn("__own", own)
+    salted = sets.withColumn("__s", F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(SALTS)).cast("int"))
+    dealt = salted.join(sizes, ["grp", "__s"], "left").withColumn("__k", blocks).withColumn("__own", own)
     dealt = dealt.withColumn("__o", F.explode(F.sequence(F.lit(0), F.col("__k") - 1)))
     dealt = dealt.select("id", "weight", "tokens", F.col("__own").alias("blk"), "grp", F.least("__own", "__o").alias("i"), F.greatest("__own", "__o").alias("j"))
 

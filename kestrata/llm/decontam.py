@@ -35,7 +35,7 @@ WINDOW = 8
 BLOCK_BYTES = 32 << 20
 
 _SPANS = T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in ("w0", "w1", "b0", "b1")]))
-_ADDED = [T.StructField("__words", T.LongType()), T.StructField("__spans", _SPANS), T.StructField("__items", T.ArrayType(T.StringType()))]
+_ADDED = [T.StructField("words", T.LongType()), T.StructField("spans", _SPANS), T.StructField("items", T.ArrayType(T.StringType()))]
 _SPANS_ARROW = pa.list_(pa.struct([(n, pa.int32()) for n in ("w0", "w1", "b0", "b1")]))
 
 
@@ -136,7 +136,13 @@ def find(column: pa.Array, b: Phrases) -> tuple[np.ndarray, list[list[dict]], li
     return total, spans, [sorted(x) for x in items]
 
 
-def _scan(shared, then=iter):
+def field(b: pa.RecordBatch, name: str) -> pa.Array:
+    """A column of the input, all of which travel in the struct ``row``."""
+    row = b.column("row")
+    return row.flatten()[row.type.get_field_index(name)]
+
+
+def _scan(shared, again: bool, then=iter):
     """A pass of one block of phrases; ``then`` goes on with its batches in the same worker."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,20 +151,17 @@ def _scan(shared, then=iter):
     def find_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = shared.value
         for b in batches:
-            n, spans, items = find(b.column("text"), phrases)
-            had = b.schema.get_field_index("__spans")
-            columns, names = list(b.columns), list(b.schema.names)
-            if had >= 0:
-                spans = [x + y for x, y in zip(b.column("__spans").to_pylist(), spans, strict=True)]
-                items = [sorted({*x, *y}) for x, y in zip(b.column("__items").to_pylist(), items, strict=True)]
-                columns, names = columns[: had - 1], names[: had - 1]
-            yield pa.record_batch([*columns, pa.array(n, pa.int64()), pa.array(spans, _SPANS_ARROW), pa.array(items, pa.list_(pa.string()))], names=[*names, "__words", "__spans", "__items"])
+            n, spans, items = find(field(b, "text"), phrases)
+            if again:
+                spans = [x + y for x, y in zip(b.column("spans").to_pylist(), spans, strict=True)]
+                items = [sorted({*x, *y}) for x, y in zip(b.column("items").to_pylist(), items, strict=True)]
+            yield pa.record_batch([b.column("row"), pa.array(n, pa.int64()), pa.array(spans, _SPANS_ARROW), pa.array(items, pa.list_(pa.string()))], names=["row", "words", "spans", "items"])
 
     return run
 
 
 def located(docs: DataFrame, benchmark: DataFrame, then=iter, schema=None, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs with __words (their number), __spans (removal spans by words and bytes) and __items (occurring items).
+    """row (the input's columns, so that no name clashes), words (their number), spans (removal spans by words and bytes) and items (occurring items).
 
     With ``then`` and its ``schema``, the last pass hands its batches on to that function.
     """
@@ -167,12 +170,13 @@ def located(docs: DataFrame, benchmark: DataFrame, then=iter, schema=None, windo
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-size // block_bytes) or 1
-    out = docs
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    plain = T.StructType([*out.schema.fields, *_ADDED])
     for i in range(blocks):
         rows = items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == i).collect()
         shared = spark.sparkContext.broadcast(Phrases([(r.id, r.text) for r in rows], window))
         last = i == blocks - 1 and schema is not None
-        out = out.mapInArrow(_scan(shared, then), schema) if last else out.mapInArrow(_scan(shared), T.StructType([*docs.schema.fields, *_ADDED]))
+        out = out.mapInArrow(_scan(shared, i > 0, then), schema) if last else out.mapInArrow(_scan(shared, i > 0), plain)
     return out
 
 
@@ -182,14 +186,14 @@ def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             hit = []
-            for s in b.column("__spans").to_pylist():
+            for s in b.column("spans").to_pylist():
                 words: set[int] = set()
                 for x in s:
                     words.update(range(x["w0"], x["w1"]))
                 hit.append(len(words))
-            items = b.column("__items").to_pylist()
+            items = b.column("items").to_pylist()
             sha = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
-            yield pa.record_batch([b.column("doc_id"), b.column("__words"), pa.array(hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(sha), pa.array([len(x) >= 2 for x in items])], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+            yield pa.record_batch([field(b, "doc_id"), b.column("words"), pa.array(hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(sha), pa.array([len(x) >= 2 for x in items])], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
     return located(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, count, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
@@ -200,19 +204,19 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     def excise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            b = b.filter(pa.array([len(x) < 2 for x in b.column("__items").to_pylist()]))
-            spans = b.column("__spans").to_pylist()
-            text = b.column("text").to_pylist()
+            b = b.filter(pa.array([len(x) < 2 for x in b.column("items").to_pylist()]))
+            spans = b.column("spans").to_pylist()
+            text = field(b, "text").to_pylist()
             for i in [i for i, s in enumerate(spans) if s]:
                 raw, kept, at = text[i].encode(), [], 0
                 for s in sorted((x["b0"], x["b1"]) for x in spans[i]):
                     kept.append(raw[at : max(at, s[0])])
                     at = max(at, s[1])
                 text[i] = (b"".join(kept) + raw[at:]).decode()
-            columns = [pa.array(text, pa.string()) if n == "text" else b.column(n) for n in names]
+            columns = [pa.array(text, pa.string()) if n == "text" else field(b, n) for n in names]
             if "n_chars" in names:
-                old = b.column("n_chars").to_pylist()
-                columns[names.index("n_chars")] = pa.array([len(t) if s and n is not None else n for t, s, n in zip(text, spans, old, strict=True)], b.column("n_chars").type)
+                old = field(b, "n_chars").to_pylist()
+                columns[names.index("n_chars")] = pa.array([len(t) if s and n is not None else n for t, s, n in zip(text, spans, old, strict=True)], field(b, "n_chars").type)
             yield pa.record_batch(columns, names=names)
 
     return located(docs, benchmark, excise, docs.schema)

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from ._graph import connected_components
 from ._spark import cut, hinted
-from ._text import U64, chunks, fmix, shingle_sets, signed
+from ._text import Seen, U64, chunks, fmix, shingle_sets, signed
 from ._verify import links
 
 LIGHT_MOST = 32  # the boundary is sought up to this size
@@ -208,11 +208,15 @@ def candidate_groups(docs: DataFrame, k: int, num: int, den: int, x: int) -> Dat
     shared = docs.sparkSession.sparkContext.broadcast(frequent_bins(docs, k))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = np.unpackbits(shared.value).astype(bool)
+        frequent, seen = np.unpackbits(shared.value).astype(bool), Seen()
         for b in batches:
             for c in chunks(b.column("text")):
                 v, at = shingle_sets(c, k)
                 hi, _ = _set_hashes(v, at)
+                one = np.sort(seen.first(hi))  # sets alike in a task count once
+                hi, sizes = hi[one], np.diff(at)[one]
+                v = v[np.repeat(at[one] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
+                at = np.concatenate([[0], np.cumsum(sizes)])
                 found = list(_signatures(v, at, x, num, den, frequent))
                 if found:
                     sig = np.concatenate([s for _, s in found])

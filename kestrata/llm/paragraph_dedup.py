@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from ._graph import connected_components
 from ._sieve import may_join
 from ._spark import cut, written
-from ._text import _R, _R_INV, U64, Chunk, chunks, fmix, hash_ranges, powers, shingles_of, signed, spans
+from ._text import _R, _R_INV, U64, Chunk, Seen, chunks, fmix, hash_ranges, powers, shingles_of, signed, spans
 from ._verify import links
 from .ngram_join import _set_hashes, star_groups
 
@@ -304,27 +304,6 @@ def _with_wanted(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.join(wanted, (docs["th"] == wanted["th"]) & docs["doc_id"].eqNullSafe(wanted["doc_id"])).select(docs["doc_id"], docs["th"], "wanted", "text")
 
 
-class Seen:
-    """Which 64-bit names a task meets for the first time; forgets all of them beyond ``most``."""
-
-    def __init__(self, most: int = 1 << 20) -> None:
-        self.most, self.names, self.held = most, np.zeros(0, np.uint64), []
-
-    def first(self, names: np.ndarray) -> np.ndarray:
-        """Indexes of the names not seen before, one of each."""
-        names, at = np.unique(names, return_index=True)
-        new = np.ones(len(names), bool)
-        for known in (self.names, *self.held):
-            if len(known):
-                new &= known[np.minimum(np.searchsorted(known, names), len(known) - 1)] != names
-        self.held.append(names[new])
-        if len(self.held) == 16:
-            self.names, self.held = np.unique(np.concatenate([self.names, *self.held])), []
-            if len(self.names) > self.most:
-                self.names = self.names[:0]
-        return at[new]
-
-
 def repeated_passages(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """lines (name, doc_id, th, b0) that stay -> doc_id, th, b0, b1 of every run of ``PASSAGE`` words at another than its first place in them."""
     met = docs.select("text").mapInArrow(_anchors, "a long, name long, twice boolean").repartition("a").sortWithinPartitions("a", "name").mapInArrow(_met, "a long, name long")

@@ -14,12 +14,12 @@ from kestrata.llm import decontam, mixing, ngram_join, paragraph_dedup, pii, ppm
 
 from . import brute
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, shard int, stratum string, start long, key long, hi long, rank int, grp long, score double"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, shard int, stratum string, start long, key long, hi long, rank int, grp long, score double, __spans string, __items string, __score double, __reject boolean, row int, words long, part int, n int"
 
 
 def frame(spark, rows, parts=3):
     """Documents with further columns whose names the operators use themselves."""
-    full = [(i, t, "en", s, None if t is None else len(t), 1, 2, "x", 3, 4, 5, 6, 7, 0.5) for i, t, s in rows]
+    full = [(i, t, "en", s, None if t is None else len(t), 1, 2, "x", 3, 4, 5, 6, 7, 0.5, "y", "z", 0.1, True, 8, 9, 10, 11) for i, t, s in rows]
     return spark.createDataFrame(full, DOCS).repartition(parts)
 
 
