@@ -1,4 +1,14 @@
-"""A corpus pipeline of five stages over ``documents``, each written as Parquet and read again by the next."""
+"""A corpus pipeline of five stages over ``documents``, each written as Parquet and read again by the next.
+
+Defined results, stage by stage: null, empty and word-free texts are never
+toxic by any word, have no near duplicate and no benchmark passage, and so
+pass the first three stages; they have no words to mix and end there.  Rows
+that repeat are judged alike, one of them stays at the near-duplicate stage,
+and rows without an id all stay there.  An empty table passes as an empty
+table, without labels nothing is rejected, and an empty benchmark marks
+nothing.  Further columns, whatever their names, are kept by all but the last
+stage.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +17,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kestrata.llm._spark import shared_folder, tables
+from kestrata.llm._spark import remove, shared_folder, tables
 from kestrata.llm.decontam import decontaminated
 from kestrata.llm.mixing import mixed_documents
 from kestrata.llm.ngram_join import one_of_each
@@ -54,8 +64,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = tables(spark, sf_dir, "documents")
-    folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    folder, done = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}", None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if done:  # what the next stage was made from
+            remove(spark, done)
+        done = f"{folder}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
