@@ -2,8 +2,9 @@
 
 A posting is (key fields, ts, freq, pos): how often a term occurs in a row's
 column and where first (from 1).  Postings derive from the current rows, so
-deletes and overwrites need no upkeep; ``term`` filters reach the exploded
-tokens before the shuffle by key.
+deletes and overwrites need no upkeep; wanted terms are filtered in the token
+array, before it is exploded.  Stored tables keep the postings of each commit
+(``Store.postings``), and ``ranked`` combines them.
 """
 
 from __future__ import annotations
@@ -24,9 +25,13 @@ FILTERS = ("sort_by", "start_ts", "end_ts", "max_postings")
 def postings(rows: DataFrame, spec: TableSpec, column: str, analyzer: Analyzer, ts: str | None = None, terms: list[str] | None = None) -> DataFrame:
     """Key fields, term, freq, pos and ts (null without a time column) of every term, or of ``terms`` only."""
     stamp = F.col(ts) if ts else F.lit(None).cast("timestamp")
-    base = rows.where(F.col(column).isNotNull()).select(*spec.key, stamp.alias("ts"), F.posexplode(analyze(F.col(column), analyzer)).alias("__at", "term"))
-    if terms is not None:
-        base = base.where(F.col("term").isin(terms))
+    tokens = analyze(F.col(column), analyzer)
+    base = rows.where(F.col(column).isNotNull())
+    if terms is None:
+        base = base.select(*spec.key, stamp.alias("ts"), F.posexplode(tokens).alias("__at", "term"))
+    else:
+        placed = F.filter(F.transform(tokens, lambda t, i: F.struct(i.alias("at"), t.alias("term"))), lambda x: x.term.isin(terms))
+        base = base.select(*spec.key, stamp.alias("ts"), F.explode(placed).alias("__t")).select(*spec.key, "ts", F.col("__t.at").alias("__at"), "__t.term")
     stats = analyzer.stats and not analyzer.exact
     freq, pos = (F.count("*").cast("long"), (F.min("__at") + 1).cast("long")) if stats else (F.lit(None).cast("long"), F.lit(None).cast("long"))
     hits = base.groupBy(*spec.key, "ts", "term")
@@ -46,7 +51,11 @@ def search(rows: DataFrame, spec: TableSpec, column: str, text: str, options: Ma
     """Postings of the rows that have every term of the query, best first: freq, pos and ts descending, then the key."""
     a = Analyzer.of(options)
     terms = query_terms(rows, text, a)
-    found = postings(rows, spec, column, a, ts, terms or [""])
+    return ranked(postings(rows, spec, column, a, ts, terms or [""]), spec, terms)
+
+
+def ranked(found: DataFrame, spec: TableSpec, terms: list[str]) -> DataFrame:
+    """Postings of the keys that have all the terms, best first."""
     if not terms:
         found = found.where(F.lit(False))
     if len(terms) == 1:

@@ -13,8 +13,12 @@ from ..plans.keys import DESCENDING, order
 
 def merge_sorted(lists: Sequence[DataFrame], key: Sequence[str], comparator: str, tag: str = "list_no") -> DataFrame:
     """One ordered list of all rows; equal keys stay, the earlier list first."""
-    tagged = [df.withColumn(tag, F.lit(i)) for i, df in enumerate(lists)]
-    return reduce(DataFrame.unionByName, tagged).orderBy(*order(key, comparator), F.col(tag))
+    return tagged_union(lists, tag).orderBy(*order(key, comparator), F.col(tag))
+
+
+def tagged_union(lists: Sequence[DataFrame], tag: str = "list_no") -> DataFrame:
+    """All rows with the number of their list, in no order, for those that rank them anew."""
+    return reduce(DataFrame.unionByName, [df.withColumn(tag, F.lit(i)) for i, df in enumerate(lists)])
 
 
 def sort_rows(df: DataFrame, key: Sequence[str], comparator: str = DESCENDING) -> DataFrame:

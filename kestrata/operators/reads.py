@@ -13,7 +13,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.keys import ASCENDING, equals, from_key, order, shard_of, to_key
+from ..plans.keys import ASCENDING, equals, from_key, order, shard_of, to_key, with_rank
 from ..spec import TableSpec, check_row_key
 
 
@@ -27,16 +27,42 @@ def read(rows: DataFrame, spec: TableSpec, key: Mapping[str, Any]) -> DataFrame:
     return rows.where(equals(spec.key, check_row_key(spec, key)))
 
 
+MOST_BROADCAST = 100_000  # requested keys
+MOST_LISTED = 200  # leading key values that go to the scan as a filter
+
+
 def read_multi(rows: DataFrame, spec: TableSpec, keys: DataFrame, ordinal: str = "ord") -> DataFrame:
-    """A left lookup join: one row for each request, repeats and misses (``found`` false) included."""
+    """A left lookup join: one row for each request, repeats and misses (``found`` false) included.
+
+    Few requests are broadcast against the table and only hits are joined
+    back; very few also filter the scan by their leading key values.
+    """
+    key = list(spec.key)
     hit = rows.withColumn("found", F.lit(True))
-    return keys.join(hit, list(spec.key), "left").withColumn("found", F.coalesce("found", F.lit(False)))
+    asked = keys.select(*key).limit(MOST_BROADCAST + 1).count()
+    if asked <= MOST_BROADCAST:
+        if asked <= MOST_LISTED:
+            hit = hit.where(F.col(key[0]).isin([r[0] for r in keys.select(key[0]).distinct().collect() if r[0] is not None]))
+        hit = hit.join(F.broadcast(keys.select(*key).distinct()), key, "left_semi")
+    return keys.join(hit, key, "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
+def in_range(rows: DataFrame, spec: TableSpec, start: Mapping[str, Any], stop: Mapping[str, Any]) -> DataFrame:
+    """The rows from start to stop, both inclusive, in no order."""
+    return rows.where(range_bounds(spec, start, stop))
+
+
+def range_bounds(spec: TableSpec, start: Mapping[str, Any], stop: Mapping[str, Any]) -> Column:
+    start, stop = check_row_key(spec, start), check_row_key(spec, stop)
+    return from_key(spec.key, start, spec.comparator) & to_key(spec.key, stop, spec.comparator)
 
 
 def read_range(rows: DataFrame, spec: TableSpec, start: Mapping[str, Any], stop: Mapping[str, Any]) -> DataFrame:
     """From start to stop, both inclusive, in table order (start is the larger key of a descending table)."""
-    start, stop = check_row_key(spec, start), check_row_key(spec, stop)
-    return rows.where(from_key(spec.key, start, spec.comparator) & to_key(spec.key, stop, spec.comparator)).orderBy(*order(spec.key, spec.comparator))
+    return in_range(rows, spec, start, stop).orderBy(*order(spec.key, spec.comparator))
+
+
+read_range_term = read_range
 
 
 def read_range_page(rows: DataFrame, spec: TableSpec, start: Mapping[str, Any], stop: Mapping[str, Any], chunk: int) -> DataFrame:
@@ -74,7 +100,7 @@ def read_range_n_local(rows: DataFrame, spec: TableSpec, start: Mapping[str, Any
     if stop is not None:
         where &= to_key(spec.key, check_row_key(spec, {**start, stop[0]: stop[1]}), spec.comparator)
     if "_shard" in rows.columns:
-        where &= F.col("_shard") == shard_of(spec.hash_key, spec.num_of_shards, start)
+        where &= F.col("_shard") == shard_of(spec.hash_key, spec.num_of_shards, start, rows.schema)
     return rows.where(where).orderBy(*order(spec.key, spec.comparator)).limit(_count(n, 0))
 
 
@@ -110,3 +136,15 @@ def neighbours(rows: DataFrame, spec: TableSpec, keys: Sequence[str] | None = No
     for k in rest:
         out = out.withColumn(f"prev_{k}", F.lag(k).over(w)).withColumn(f"next_{k}", F.lead(k).over(w))
     return out
+
+
+def neighbours_all(rows: DataFrame, spec: TableSpec) -> DataFrame:
+    """Every row with its place in table order (``rn``) and the keys before and after it (prev_* and next_*), as a cursor moves over the whole table.
+
+    Places come from ``with_rank``; neighbours meet by place in two joins, so no task holds the table.
+    """
+    placed = with_rank(rows, spec.key, spec.comparator)
+    out = placed
+    for side, shift in (("prev", 1), ("next", -1)):
+        out = out.join(placed.select((F.col("rn") + shift).alias("rn"), *[F.col(k).alias(f"{side}_{k}") for k in spec.key]), "rn", "left")
+    return out

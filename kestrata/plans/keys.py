@@ -11,8 +11,9 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 ASCENDING, DESCENDING = "ascending", "descending"
 
@@ -51,33 +52,39 @@ def equals(fields: Sequence[str], at: Mapping[str, Any]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(k) == F.lit(at[k]) for k in fields], F.lit(True))
 
 
-def shard_of(fields: Sequence[str], shards: int, values: Mapping[str, Any] | None = None) -> Column:
-    """Shard number: the leading 32 bits of the SHA-256 of the hash key, modulo the shards."""
-    parts = [(F.lit(values[f]) if values is not None else F.col(f)).cast("string") for f in fields]
+def shard_of(fields: Sequence[str], shards: int, values: Mapping[str, Any] | None = None, schema: StructType | None = None) -> Column:
+    """Shard number: the leading 32 bits of the SHA-256 of the hash key, modulo the shards.
+
+    Of ``values`` it is a constant, as the column types of ``schema`` would have it.
+    """
+    given = {f: F.lit(values[f]).cast(schema[f].dataType) if schema is not None else F.lit(values[f]) for f in fields} if values is not None else {}
+    parts = [given.get(f, F.col(f)).cast("string") if given else F.col(f).cast("string") for f in fields]
     digest = F.sha2(F.concat_ws("|", *parts).cast("binary"), 256)
     return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % shards).cast("int")
 
 
-def with_rank(df: DataFrame, key: Sequence[str], comparator: str, name: str = "rn", buckets: int = 64) -> DataFrame:
-    """Rows with their place in table order from 1, without a single-task sort.
+ROWS_PER_BUCKET = 250_000
+MOST_BUCKETS = 512
+
+
+def with_rank(df: DataFrame, key: Sequence[str], comparator: str, name: str = "rn", rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """Rows with their place in table order from 1, without a single-task sort of more than a bucket.
 
-    Quantiles of the leading key part the rows into ranges; counts of the
-    ranges give where each begins, and a window ranks inside a range only.
+    Bounds taken from a sample of whole keys (of least hash, any type) part the
+    rows into buckets by size; counts of the buckets give where each begins,
+    and a window ranks inside a bucket only.
     """
-    from pyspark.sql import Window
-
-    lead = key[0]
-    kind = dict(df.dtypes)[lead]
-    number = F.unix_micros(F.col(lead).cast("timestamp")) if kind.startswith("timestamp") else F.col(lead)
-    if kind == "string":
-        bounds: list[float] = []
-    else:
-        probs = [i / buckets for i in range(1, buckets)]
-        bounds = sorted(set(df.select(number.cast("double").alias("v")).approxQuantile("v", probs, 0.01)))
-    bucket = F.lit(0)
-    if bounds:
-        bucket = F.size(F.filter(F.array(*[F.lit(float(b)) for b in bounds]), lambda b: b < number.cast("double")))
-    placed = df.withColumn("__bucket", bucket if comparator == ASCENDING else -bucket)
+    up = comparator == ASCENDING
+    by = Window.orderBy(*order(key, comparator))
+    n = df.count()
+    buckets = min(MOST_BUCKETS, -(-n // rows_per_bucket))
+    if buckets <= 1:
+        return df.withColumn(name, F.row_number().over(by).cast("long"))
+    at = F.struct(*key)
+    sample = df.select(at.alias("k")).orderBy(F.xxhash64(*key)).limit(32 * buckets)
+    bounds = sample.orderBy("k").agg(F.sort_array(F.collect_set("k")).alias("s")).select(F.expr(f"transform(sequence(1, {buckets - 1}), i -> s[cast(i * size(s) div {buckets} as int)])").alias("__bounds"))
+    placed = df.crossJoin(F.broadcast(bounds)).withColumn("__bucket", F.size(F.filter("__bounds", lambda b: b <= at))).drop("__bounds")  # one row of bounds
+    placed = placed.withColumn("__bucket", F.col("__bucket") if up else -F.col("__bucket"))
     counts = placed.groupBy("__bucket").agg(F.count("*").alias("__n"))
     counts = counts.withColumn("__before", F.sum("__n").over(Window.orderBy("__bucket")) - F.col("__n")).drop("__n")
     inside = F.row_number().over(Window.partitionBy("__bucket").orderBy(*order(key, comparator)))

@@ -8,6 +8,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .engine import Engine
 from .functions.analyzer import LUCENE_STOPWORDS, Analyzer, analyze
 from .operators import index, merge, reads, retention, updates, writes
 from .operators.updates import Increment, Other, Overwrite, Put
@@ -94,12 +95,12 @@ _IN_RANGE = f"{_beyond_sql('<', _RANGE_HI)} AND {_beyond_sql('>', _RANGE_LO)}"
 
 @query(f"SELECT {_L}, row_number() OVER (ORDER BY l_orderkey DESC, l_partkey DESC, l_suppkey DESC, l_linenumber DESC, l_quantity DESC) AS rn FROM lineitem WHERE {_IN_RANGE}")
 def range_full_desc(spark, sf_dir):
-    return with_rank(reads.read_range(_t(spark, sf_dir, "lineitem", _L), LINES, _RANGE_HI, _RANGE_LO), [*LINES.key, "l_quantity"], LINES.comparator)
+    return with_rank(reads.in_range(_t(spark, sf_dir, "lineitem", _L), LINES, _RANGE_HI, _RANGE_LO), [*LINES.key, "l_quantity"], LINES.comparator)
 
 
 @query(f"SELECT {_L}, row_number() OVER (ORDER BY {_LK}, l_quantity) AS rn FROM lineitem WHERE {_IN_RANGE}")
 def range_full_asc(spark, sf_dir):
-    return with_rank(reads.read_range(_t(spark, sf_dir, "lineitem", _L), LINES_UP, _RANGE_LO, _RANGE_HI), [*LINES.key, "l_quantity"], ASCENDING)
+    return with_rank(reads.in_range(_t(spark, sf_dir, "lineitem", _L), LINES_UP, _RANGE_LO, _RANGE_HI), [*LINES.key, "l_quantity"], ASCENDING)
 
 
 _SHARD = "('0x' || substr(sha256(o_orderkey::VARCHAR), 1, 8))::BIGINT % 16"
@@ -194,13 +195,13 @@ def cursor_steps(spark, sf_dir):
 @query("SELECT o_orderkey, o_totalprice, CAST(list_no AS INTEGER) AS list_no, row_number() OVER (ORDER BY o_orderkey DESC) AS rn FROM (SELECT *, o_orderkey % 4 AS list_no FROM orders)")
 def merge_sorted_shards(spark, sf_dir):
     rows = _t(spark, sf_dir, "orders", "o_orderkey, o_totalprice")
-    lists = [merge.sort_rows(rows.where(F.col("o_orderkey") % 4 == i), ORDERS.key) for i in range(4)]
-    return with_rank(merge.merge_sorted(lists, ORDERS.key, ORDERS.comparator), ORDERS.key, ORDERS.comparator)
+    lists = [rows.where(F.col("o_orderkey") % 4 == i) for i in range(4)]
+    return with_rank(merge.tagged_union(lists), ORDERS.key, ORDERS.comparator)
 
 
 @query("SELECT c_custkey, c_name, row_number() OVER (ORDER BY c_custkey DESC) AS rn FROM customer")
 def sort_rows_desc(spark, sf_dir):
-    return with_rank(merge.sort_rows(_t(spark, sf_dir, "customer", "c_custkey, c_name"), ["c_custkey"]), ["c_custkey"], "descending")
+    return with_rank(_t(spark, sf_dir, "customer", "c_custkey, c_name"), ["c_custkey"], "descending")
 
 
 # writes
@@ -417,6 +418,124 @@ def stored_compacted_rows(spark, sf_dir):
     return store.rows(store.compact(name))
 
 
+def _engine(spark: SparkSession) -> Engine:
+    return Engine(spark, scratch(spark))
+
+
+@query("SELECT * FROM (VALUES (1::BIGINT, 2::BIGINT, 'b'), (2, 20, NULL), (3, NULL, 'c')) t(k, n, s)")
+def stored_batch_rows(spark, sf_dir):
+    """One commit for a batch; the last request of a key counts, and columns that it lacks are gone."""
+    e = _engine(spark)
+    e.create_table("t", ["k"])
+    e.write_batch([("t", {"k": 1}, {"n": 1}), ("t", {"k": 2}, {"n": 20}), ("none", {"k": 1}, {"n": 1}), ("t", {"k": 1}, {"n": 2, "s": "b"}), ("t", {"k": 3}, {"s": "c"})])
+    return e.table("t").select("k", "n", "s")
+
+
+@query(f"SELECT {_O} FROM orders WHERE o_orderkey NOT IN (1, 7, 42)")
+def stored_delete_multi(spark, sf_dir):
+    e = _engine(spark)
+    e.create_table("orders", ORDERS.key)
+    e.write_rows("orders", _t(spark, sf_dir, "orders", _O))
+    e.delete_multi("orders", [{"o_orderkey": k} for k in (1, 42, 7, 42, -1)])
+    return e.table("orders")
+
+
+@query(f"SELECT {_E} FROM events WHERE ts >= TIMESTAMP '2024-01-15'")
+def stored_fifo_rows(spark, sf_dir):
+    """The age half of fifo_ttl: rows written long ago are gone."""
+    e, rows = _engine(spark), _t(spark, sf_dir, "events", _E)
+    e.create_table("events", EVENTS.key, {"time_series": True, "fifo_ttl": (86_400, 1 << 50)})
+    e.store.append("events", rows.where("ts < timestamp_ntz'2024-01-15'"), write_ts=datetime(2020, 1, 1))
+    e.store.append("events", rows.where("ts >= timestamp_ntz'2024-01-15'"))
+    return e.table("events")
+
+
+@query(f"SELECT {_E} FROM events WHERE ts >= TIMESTAMP '2024-01-15'")
+def stored_ttl_altered(spark, sf_dir):
+    e, rows = _engine(spark), _t(spark, sf_dir, "events", _E)
+    e.create_table("events", EVENTS.key, {"time_series": True})
+    e.store.append("events", rows.where("ts < timestamp_ntz'2024-01-15'"), write_ts=datetime(2020, 1, 1))
+    e.store.append("events", rows.where("ts >= timestamp_ntz'2024-01-15'"))
+    e.alter_table("events", {"ttl": 86_400})
+    e.compact("events")
+    return e.table("events")
+
+
+@query(f"SELECT {_E}, row_number() OVER (ORDER BY ts DESC) AS rn FROM (SELECT {_E} FROM events WHERE user_id = 7 AND ts <= TIMESTAMP '2024-01-20' ORDER BY ts DESC LIMIT 20)")
+def stored_range_local(spark, sf_dir):
+    """A prefix of a stored table: one shard's files are read."""
+    e = _engine(spark)
+    e.create_table("events", EVENTS.key, {"time_series": True})
+    e.write_rows("events", _t(spark, sf_dir, "events", _E))
+    m = e.store.manifest("events")
+    start = {"user_id": 7, "ts": _START}
+    return _ranked(reads.read_range_n_local(e.store.rows(m, at=start), m.spec, start, 20), m.spec)
+
+
+@query("SELECT 'backup' AS state, count(*) AS n, sum(o_custkey)::BIGINT AS custkeys FROM orders UNION ALL SELECT 'later', count(*), sum(o_custkey)::BIGINT FROM orders WHERE o_orderkey % 3 <> 0 UNION ALL SELECT 'emptied', 0, NULL")
+def stored_backup_restore(spark, sf_dir):
+    e, rows = _engine(spark), _t(spark, sf_dir, "orders", _O)
+    e.create_table("orders", ORDERS.key)
+    e.write_rows("orders", rows)
+    e.backup("orders")
+    e.store.append("orders", rows.where("o_orderkey % 3 = 0").select("o_orderkey"), op=writes.DELETE)
+    e.checkpoint("orders")
+    sums = lambda state, df: df.agg(F.count("*").alias("n"), F.sum("o_custkey").cast("long").alias("custkeys")).select(F.lit(state).alias("state"), "n", "custkeys")
+    later = sums("later", e.table("orders"))
+    e.recreate("orders")
+    e.write_rows("orders", rows.where("false"))
+    emptied = sums("emptied", e.table("orders"))
+    e.restore("orders", 1)
+    return sums("backup", e.table("orders")).unionByName(later).unionByName(emptied)
+
+
+_EDITED = (
+    "WITH d AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'the NEW text the' ELSE text END AS text FROM documents WHERE doc_id % 7 <> 0), "
+    "tok AS (SELECT doc_id, unnest(l) AS term, unnest(range(1, len(l) + 1)) AS pos FROM (SELECT doc_id, regexp_extract_all(lower(text), '([\\p{L}\\p{N}]+)', 1) AS l FROM d)), "
+    "post AS (SELECT doc_id, term, count(*) AS freq, min(pos) AS pos FROM tok GROUP BY ALL) "
+)
+
+
+def _indexed(spark: SparkSession, sf_dir: str) -> Engine:
+    """Documents under a stored index, with overwritten and deleted rows."""
+    e, d = _engine(spark), _t(spark, sf_dir, "documents", "doc_id, text, lang")
+    e.create_table("documents", DOCUMENTS.key, {"comparator": ASCENDING})
+    e.add_index("documents", ["text", ("lang", "exact")])
+    e.write_rows("documents", d)
+    e.write_rows("documents", d.where("doc_id % 5 = 0").select("doc_id", F.lit("the NEW text the").alias("text"), "lang"))
+    e.store.append("documents", d.where("doc_id % 7 = 0").select("doc_id"), op=writes.DELETE)
+    return e
+
+
+@query(_EDITED + "SELECT doc_id, freq, pos FROM post WHERE term = 'the'")
+def stored_index_single_term(spark, sf_dir):
+    return _indexed(spark, sf_dir).index_rows("documents", "text", "The").select("doc_id", "freq", "pos")
+
+
+@query(_EDITED + "SELECT doc_id, min(freq) AS freq, min(pos) AS pos FROM post WHERE term IN ('the', 'that') GROUP BY doc_id HAVING count(*) = 2")
+def stored_index_and_terms(spark, sf_dir):
+    e = _indexed(spark, sf_dir)
+    e.compact_index("documents")
+    return e.index_rows("documents", "text", "the THAT").select("doc_id", "freq", "pos")
+
+
+@query("SELECT doc_id FROM documents WHERE lang = 'fr' AND doc_id % 7 <> 0")
+def stored_index_exact(spark, sf_dir):
+    e = _indexed(spark, sf_dir)
+    e.remove_index("documents", ["text"])
+    return e.index_rows("documents", "lang", "fr").select("doc_id")
+
+
+@query(f"SELECT {_O}, lag(o_orderkey) OVER w AS prev_o_orderkey, lead(o_orderkey) OVER w AS next_o_orderkey, row_number() OVER w AS rn FROM orders WINDOW w AS (ORDER BY o_orderkey DESC)")
+def cursor_walk(spark, sf_dir):
+    return reads.neighbours_all(_t(spark, sf_dir, "orders", _O), ORDERS)
+
+
+@query("SELECT c_name, c_custkey, row_number() OVER (ORDER BY c_name DESC, c_custkey DESC) AS rn FROM customer")
+def rank_string_key(spark, sf_dir):
+    return with_rank(_t(spark, sf_dir, "customer", "c_name, c_custkey"), ["c_name", "c_custkey"], "descending", rows_per_bucket=200)
+
+
 @query("SELECT n.x AS ts, 123::BIGINT AS value, 23::BIGINT AS incs FROM range(20000) n(x)")
 def load_generator(spark, sf_dir):
     return range_load(spark, 20_000).where(F.col("key").between(1, 10_000)).select("ts", "value", "incs")
@@ -437,7 +556,7 @@ def ttl_live_rows(spark, sf_dir):
 )
 def fifo_retention(spark, sf_dir):
     rows = _t(spark, sf_dir, "events", "event_id, user_id, ts")
-    return retention.fifo(rows, shard_of(["user_id"], 16), [F.desc("ts"), F.desc("event_id")], F.lit(100), 200_000, 16)
+    return retention.fifo(rows, shard_of(["user_id"], 16), [F.desc("ts"), F.desc("event_id")], F.lit(100), 200_000, 16, F.shiftright(F.unix_micros(F.col("ts").cast("timestamp")), 32))
 
 
 @query("SELECT count(DISTINCT o_orderkey) AS num_keys FROM orders")
@@ -450,17 +569,36 @@ def shard_distribution(spark, sf_dir):
     return retention.shard_counts(_t(spark, sf_dir, "orders"), shard_of(ORDERS.hash_key, ORDERS.num_of_shards))
 
 
-_INFO = ("comparator", "data_model", "hash_key", "key", "name", "num_of_shards", "time_series")
+_INFO = ("columns", "comparator", "data_model", "hash_key", "key", "name", "num_of_shards", "time_series")
 
 
-@query("SELECT * FROM (VALUES ('comparator', 'descending'), ('data_model', 'array'), ('hash_key', 'user_id'), ('key', 'user_id,ts'), ('name', 'events'), ('num_of_shards', '16'), ('time_series', 'true')) t(property, value)")
+@query("SELECT * FROM (VALUES ('columns', 'event_type,value'), ('comparator', 'descending'), ('data_model', 'array'), ('hash_key', 'user_id'), ('key', 'user_id,ts'), ('name', 'events'), ('num_of_shards', '16'), ('time_series', 'true')) t(property, value)")
 def table_info_props(spark, sf_dir):
+    """Asked of a table that was created and written; names that are no property are left out."""
+    e = _engine(spark)
+    e.create_table("events", EVENTS.key, {"time_series": True})
+    e.write_rows("events", _t(spark, sf_dir, "events", _E).limit(10))
+
     def text(v) -> str:
         return ",".join(v) if isinstance(v, tuple) else str(v).lower() if isinstance(v, bool) else str(v)
 
-    return spark.createDataFrame([(p, text(getattr(EVENTS, p))) for p in _INFO], "property string, value string")
+    return spark.createDataFrame([(p, text(v)) for p, v in e.table_info("events", [*_INFO, "nonsense"]).value], "property string, value string")
+
+
+@query("SELECT * FROM (VALUES ('keys_within_5_percent', 1::BIGINT), ('size_is_positive', 1)) t(property, value)")
+def table_info_measured(spark, sf_dir):
+    e, rows = _engine(spark), _t(spark, sf_dir, "orders", "o_orderkey")
+    e.create_table("orders", ORDERS.key)
+    e.write_rows("orders", rows)
+    found, n = dict(e.table_info("orders", ["size", "approx_num_keys"]).value), rows.count()
+    return spark.createDataFrame([("keys_within_5_percent", int(abs(found["approx_num_keys"] - n) <= 0.05 * n)), ("size_is_positive", int(found["size"] > 0))], "property string, value long")
 
 
-@query("SELECT * FROM (VALUES ('conversations'), ('documents'), ('events'), ('lineitem'), ('orders')) t(name)")
+@query("SELECT * FROM (VALUES ('conversations'), ('documents'), ('events'), ('lineitem')) t(name)")
 def list_tables(spark, sf_dir):
-    return spark.createDataFrame([(s.name,) for s in sorted({s.name: s for s in (EVENTS, ORDERS, LINES, TALKS, DOCUMENTS)}.values(), key=lambda s: s.name)], "name string")
+    """The catalog after five tables were created and one deleted."""
+    e = _engine(spark)
+    for s in (EVENTS, ORDERS, LINES, TALKS, DOCUMENTS):
+        e.store.create(s)
+    e.delete_table("orders")
+    return spark.createDataFrame([(n,) for n in e.list_tables()], "name string")

@@ -24,3 +24,31 @@ def test_upserts_limit_before_the_shuffle(spark, sf_dir):
 
 def test_counters_combine_before_the_shuffle(spark, sf_dir):
     assert "partial_sum" in plan(QUERIES["update_threshold"](spark, sf_dir))
+
+
+def _plan(df):
+    return df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+
+
+def test_point_reads_and_postings_prune_files(spark, sf_dir, tmp_path):
+    from kestrata.engine import Engine
+    from kestrata.operators import reads
+
+    e = Engine(spark, str(tmp_path / "tables"))
+    e.create_table("d", ["doc_id"])
+    e.add_index("d", ["text"])
+    e.write_rows("d", spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    m = e.store.manifest("d")
+    point = _plan(reads.read(e.store.rows(m, at={"doc_id": 7}), m.spec, {"doc_id": 7}))
+    assert "PartitionFilters: [isnotnull(_shard" in point and "EqualTo(doc_id,7)" in point
+    found = _plan(e.index_rows("d", "text", "the"))
+    assert "_bucket" in found.split("PartitionFilters")[1].split("]")[0] and "EqualTo(term,the)" in found
+
+
+def test_ranks_by_buckets_of_whole_keys(spark):
+    from kestrata.plans.keys import with_rank
+
+    rows = [("hot" if i % 3 else f"k{i % 50:02d}", i * 7 % 1000) for i in range(1000)]
+    for comparator in ("ascending", "descending"):
+        out = {(r.a, r.b): r.rn for r in with_rank(spark.createDataFrame(rows, "a string, b int").repartition(4), ["a", "b"], comparator, rows_per_bucket=60).collect()}
+        assert out == {k: i + 1 for i, k in enumerate(sorted(rows, reverse=comparator == "descending"))}
