@@ -15,8 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._spark import cut
+
 MEMBERS = 256
+FEW = 24  # members of a group whose pairs are compared one by one, together with those of other groups
+PAIR_TOKENS = 1 << 20
 SALTS = 32
+MOST_BROADCAST = 100_000  # large groups, two numbers each
 COLUMNS = 1 << 14
 
 _OUT = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
@@ -62,46 +67,120 @@ def forest(linked: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
-def links(sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
+def links(sets: DataFrame, groups: DataFrame, numerator: int, denominator: int) -> DataFrame:
     """sets (grp, id, weight, tokens: sorted distinct longs; repeats of an id are alike) -> rows (a, b, links).
 
+    ``groups`` has a row (grp) a set, from where that is known without its tokens.
+
     Rows with a != b are links with |intersection| * denominator >= numerator *
     |union|, enough of them to connect what links connect; rows with a = b
     carry parts of the number of a's links, each other set counted by weight.
     """
-    sizes = sets.groupBy("grp").agg(F.count("*").alias("__n")).filter(F.col("__n") > MEMBERS)
-    # the few large groups meet their size under SALTS keys, so that none is one task's work
-    sizes = sizes.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    # the few large groups meet their size by broadcast, or under SALTS keys, so that none is one task's work
+    large = cut(groups.groupBy("grp").agg(F.count("*").alias("__n")).filter(F.col("__n") > MEMBERS))
+    if large.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+        sized = sets.join(F.broadcast(large), "grp", "left")
+    else:
+        salted = sets.withColumn("__s", F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(SALTS)).cast("int"))
+        sized = salted.join(large.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["grp", "__s"], "left")
     blocks = F.coalesce(F.ceil(F.col("__n") / F.lit(MEMBERS)), F.lit(1)).cast("int")
     own = F.pmod(F.xxhash64("id"), F.col("__k")).cast("int")
-    salted = sets.withColumn("__s", F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(SALTS)).cast("int"))
-    dealt = salted.join(sizes, ["grp", "__s"], "left").withColumn("__k", blocks).withColumn("__own", own)
+    dealt = sized.withColumn("__k", blocks).withColumn("__own", own)
     dealt = dealt.withColumn("__o", F.explode(F.sequence(F.lit(0), F.col("__k") - 1)))
     dealt = dealt.select("id", "weight", "tokens", F.col("__own").alias("blk"), "grp", F.least("__own", "__o").alias("i"), F.greatest("__own", "__o").alias("j"))
 
-    def compare(t: pa.Table) -> pa.Table:
-        _, one = np.unique(t.column("id").to_numpy(), return_index=True)  # repeated rows have one set
-        t = t.take(pa.array(one))
-        ids, weight, blk = (t.column(c).to_numpy() for c in ("id", "weight", "blk"))
-        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        if len(ids) < 2:
-            return _OUT.empty_table()
-        column = t.column("tokens").combine_chunks()
-        column = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
-        flat, at = column.values.to_numpy(), column.offsets.to_numpy()
-        sets_ = [flat[at[x] : at[x + 1]] for x in range(len(ids))]
-        size = np.array([len(s) for s in sets_])
-        both = intersections(sets_)
-        linked = both * denominator >= numerator * (size[:, None] + size[None, :] - both)
-        linked &= (both > 0) & ~np.eye(len(ids), dtype=bool)
-        if i != j:
-            linked &= blk[:, None] != blk[None, :]
-        found = forest(linked)
-        n = linked @ weight
-        some = n > 0
-        a = [ids[u] for u, _ in found] + ids[some].tolist()
-        b = [ids[v] for _, v in found] + ids[some].tolist()
-        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([0] * len(found) + n[some].tolist(), pa.int64())], schema=_OUT)
+    def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """From rows sorted by group and block pair, many whole groups at once."""
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            # rows of the last group may go on in the next batch
+            keys = [b.column(c).to_numpy() for c in ("grp", "i", "j")]
+            last = b.num_rows - 1
+            begin = int(np.flatnonzero(np.logical_or.reduce([k != k[last] for k in keys]))[-1]) + 1 if any((k != k[last]).any() for k in keys) else 0
+            if held and [held[-1].column(c)[held[-1].num_rows - 1] for c in ("grp", "i", "j")] != [b.column(c)[0] for c in ("grp", "i", "j")]:
+                yield from compared(held, numerator, denominator)
+                held = []
+            if begin:
+                yield from compared([*held, b.slice(0, begin)], numerator, denominator)
+                held = []
+            held.append(b.slice(begin))
+        if held:
+            yield from compared(held, numerator, denominator)
 
     # without this, the join's partitioning by group would do, and a large group's blocks all stay in one task
-    return dealt.repartition("grp", "i", "j").groupBy("grp", "i", "j").applyInArrow(compare, "a long, b long, links long")
+    return dealt.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "id").mapInArrow(whole_groups, "a long, b long, links long")
+
+
+def compared(batches: list[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Links and numbers of links of whole groups, their rows sorted by group and id."""
+    t = pa.Table.from_batches(batches)
+    grp, i, j, ids = (t.column(c).to_numpy() for c in ("grp", "i", "j", "id"))
+    new = np.ones(len(ids), bool)
+    new[1:] = (grp[1:] != grp[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+    one = new.copy()
+    one[1:] |= ids[1:] != ids[:-1]  # repeated rows have one set
+    t = t.filter(pa.array(one)).combine_chunks()
+    ids, weight, blk, within = (t.column(c).to_numpy() for c in ("id", "weight", "blk", "i"))
+    within = within == t.column("j").to_numpy()
+    starts = np.flatnonzero(new[one])
+    members = np.diff(np.append(starts, len(ids)))
+    column = t.column("tokens").combine_chunks()
+    column = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
+    flat, at = column.values.to_numpy(), column.offsets.to_numpy().astype(np.int64)
+    size = np.diff(at)
+    u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for m in np.unique(members[(members > 1) & (members <= FEW)]).tolist():
+        x, y = np.triu_indices(m, 1)
+        u.append((starts[members == m][:, None] + x).ravel())
+        v.append((starts[members == m][:, None] + y).ravel())
+    u, v = np.concatenate(u), np.concatenate(v)
+    # an intersection is no larger than the smaller set
+    may = (within[u] | (blk[u] != blk[v])) & (np.minimum(size[u], size[v]) * den >= num * np.maximum(size[u], size[v])) & (size[u] > 0)
+    a, b = _linked_pairs(flat, at, size, u[may], v[may], num, den)
+    n = np.zeros(len(ids), np.int64)
+    np.add.at(n, a, weight[b])
+    np.add.at(n, b, weight[a])
+    found = [(ids[a], ids[b])]
+    for s, m in zip(starts[members > FEW].tolist(), members[members > FEW].tolist(), strict=True):
+        both = intersections([flat[at[k] : at[k + 1]] for k in range(s, s + m)])
+        own = size[s : s + m]
+        linked = both * den >= num * (own[:, None] + own[None, :] - both)
+        linked &= (both > 0) & ~np.eye(m, dtype=bool)
+        if not within[s]:
+            linked &= blk[s : s + m, None] != blk[None, s : s + m]
+        edges = np.array(forest(linked), np.int64).reshape(-1, 2) + s
+        found.append((ids[edges[:, 0]], ids[edges[:, 1]]))
+        n[s : s + m] += linked @ weight[s : s + m]
+    some = n > 0
+    x = np.concatenate([*[p for p, _ in found], ids[some]])
+    y = np.concatenate([*[q for _, q in found], ids[some]])
+    if len(x):
+        yield pa.record_batch([pa.array(x), pa.array(y), pa.array(np.concatenate([np.zeros(len(x) - int(some.sum()), np.int64), n[some]]))], schema=_OUT)
+
+
+def _linked_pairs(flat, at, size, u, v, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the pairs (u, v) of sets that link, by looking the tokens of u up among those of v."""
+    if not len(u):
+        return u, v
+    distinct, dense = np.unique(flat.view(np.uint64), return_inverse=True)  # sets are sorted by unsigned value
+    width = len(distinct)
+    keys = np.repeat(np.arange(len(size)), size) * width + dense[at[0] : at[-1]]  # ascending: tokens are sorted within each set
+    keep = []
+    step = np.searchsorted(np.cumsum(size[u]), np.arange(PAIR_TOKENS, size[u].sum() + PAIR_TOKENS, PAIR_TOKENS), "right") + 1
+    lo = 0
+    for hi in np.unique(np.minimum(step, len(u))).tolist():
+        p, q = u[lo:hi], v[lo:hi]
+        if not len(p):
+            continue
+        n = size[p]
+        first = np.cumsum(n) - n
+        token = np.arange(n.sum()) - np.repeat(first, n) + np.repeat(at[p] - at[0], n)
+        ask = np.repeat(q, n) * width + dense[at[0] + token]
+        hit = keys[np.minimum(np.searchsorted(keys, ask), len(keys) - 1)] == ask
+        both = np.add.reduceat(hit.astype(np.int64), first)
+        keep.append(lo + np.flatnonzero((both > 0) & (both * den >= num * (size[p] + size[q] - both))))
+        lo = hi
+    keep = np.concatenate(keep)
+    return u[keep], v[keep]

@@ -280,7 +280,7 @@ def linked_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100
     wanted = cut(reps.join(groups, "hi").filter("rep is not null").select("rep", "hi", "lo", "weight", "grp"))
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(hinted(wanted, BROADCAST_ROWS), "rep")
     sets = tokens(texts, k, ["grp", "rep", "weight"]).select("grp", F.col("rep").alias("id"), "weight", "tokens")
-    found = cut(links(sets, num, den))
+    found = cut(links(sets, wanted, num, den))
     comp = connected_components(found.select("a", "b"))
     direct = found.filter("a = b").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("__links"))
     by_rep = reps.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").join(direct, "rep", "left")

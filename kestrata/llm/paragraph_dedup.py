@@ -343,7 +343,7 @@ def repeated_paragraphs(docs: DataFrame, k: int = 5, num: int = 80, den: int = 1
     sets = cut(units.filter("kind >= 0").groupBy("hi", "lo").agg(F.count("*").alias("n"), *firsts).join(groups, "hi", "left").filter("n > 1 or grp is not null"))
     wanted = cut(sets.filter("grp is not null").groupBy("first.doc_id", "first.th").agg(F.collect_list(F.struct("hi", "lo", "grp")).alias("wanted")))
     texts = _with_wanted(docs, wanted).select("wanted", "text")
-    found = cut(links(texts.mapInArrow(_tokens(k), "grp long, id long, weight long, tokens array<long>"), num, den).select("a", "b").filter("a != b"))
+    found = cut(links(texts.mapInArrow(_tokens(k), "grp long, id long, weight long, tokens array<long>"), sets.filter("grp is not null"), num, den).select("a", "b").filter("a != b"))
     component = connected_components(found).select(F.col("node").alias("hi"), "component")
     named = sets.join(component, "hi", "left").withColumn("component", F.coalesce("component", "hi"))
     stays = named.groupBy("component").agg(F.min("line").alias("stays"))
