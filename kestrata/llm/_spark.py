@@ -22,7 +22,7 @@ def small_batches(spark: SparkSession) -> None:
     cut by checkpoints and tables, so none is read again.
     """
     for name, default, ours in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", str(BATCH_ROWS)), ("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false", "true")):
-        if spark.conf.get(name, None) == default:
+        if spark.conf.get(name, None) in (None, default):  # None where nothing is set
             spark.conf.set(name, ours)
 
 

@@ -5,6 +5,7 @@ from hypothesis import strategies as st
 
 from kestrata.llm._dc3 import suffix_array
 from kestrata.llm._fm import FMIndex
+from kestrata.llm._spark import BATCH_ROWS, small_batches
 from kestrata.llm._text import alnum_spans, chunks, shingle_sets, spans, words
 from kestrata.llm.mixing import permuted
 from kestrata.llm.ppm import HashTable
@@ -73,3 +74,13 @@ def test_permutations_and_hash_tables():
     keys = np.arange(5000, dtype=np.uint64) * np.uint64(7919)
     values, found = HashTable(keys, np.arange(5000, dtype=np.float32)).get(np.concatenate([keys, keys + np.uint64(1)]))
     assert found[:5000].all() and not found[5000:].any() and values[:5000].tolist() == list(range(5000)) and not values[5000:].any()
+
+
+def test_session_settings_hold_where_none_are_set(spark):
+    ours = ("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS)), ("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    session = spark.newSession()
+    small_batches(session)
+    assert all(session.conf.get(name) == value for name, value in ours)
+    session.conf.set(ours[0][0], "77")
+    small_batches(session)
+    assert session.conf.get(ours[0][0]) == "77"
