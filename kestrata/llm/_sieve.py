@@ -27,7 +27,7 @@ def bitmap(places: DataFrame) -> np.ndarray:
         return pa.table([pa.array([t.column("s")[0].as_py()], pa.int32()), pa.array([np.packbits(bits).tobytes()])], names=["s", "bits"])
 
     out = np.zeros((1 << (BITS - SLICE_BITS), 1 << (SLICE_BITS - 3)), np.uint8)
-    for r in rows.groupBy("s").applyInArrow(pack, "s int, bits binary").toLocalIterator():
+    for r in rows.groupBy("s").applyInArrow(pack, "s int, bits binary").collect():  # 16 MB at most
         out[r.s] = np.frombuffer(r.bits, np.uint8)
     return out.ravel()
 
