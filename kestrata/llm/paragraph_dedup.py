@@ -251,8 +251,22 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(out[0]), pa.array(out[1])], names=["a", "name"])
 
 
+def _not_first(g: np.ndarray, *place: np.ndarray) -> np.ndarray:
+    """Whether a row stands at another place than the least of its g."""
+    by = np.lexsort((*place[::-1], g))
+    first = np.ones(len(g), bool)
+    first[1:] = g[by][1:] != g[by][:-1]
+    least = np.empty(len(g), np.int64)
+    least[by] = by[np.maximum.accumulate(np.where(first, np.arange(len(g)), 0))] if len(g) else 0
+    return np.logical_or.reduce([x != x[least] for x in place])
+
+
 def _wanted_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hash and whereabouts of every run of a line with an anchor that was asked for there."""
+    """Hash and whereabouts of every run of a line with an anchor that was asked for there.
+
+    ``later`` tells those whose like stands at an earlier place in the same chunk; they go whatever else there is,
+    so their ``key`` deals them anywhere, while the others meet by their hash.
+    """
     for b in batches:
         wanted = b.column("wanted")
         for c in chunks(b.column("text")):
@@ -265,17 +279,21 @@ def _wanted_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hit = np.isin(key(doc, s[starts[line]] - c.at[doc], anchor), asked)
             at, doc = at[hit], doc[hit]
             of = pa.array(doc + c.first)
-            yield pa.record_batch(
-                [pa.array(signed(_hashes(h, at, at + PASSAGE))), b.column("doc_id").take(of), b.column("th").take(of)]
-                + [pa.array(x.astype(np.int32)) for x in (s[at] - c.at[doc], e[at + PASSAGE - 1] - c.at[doc])],
-                names=["g", "doc_id", "th", "b0", "b1"],
-            )
+            doc_id, th = b.column("doc_id").take(of), b.column("th").take(of)
+            b0, b1 = s[at] - c.at[doc], e[at + PASSAGE - 1] - c.at[doc]
+            g = _hashes(h, at, at + PASSAGE)
+            later = _not_first(g, np.asarray(doc_id.is_valid()), doc_id.fill_null(0).to_numpy(), th.to_numpy(), b0)
+            key_of = np.where(later, fmix(g + fmix(np.arange(len(g), dtype=np.uint64))), g)
+            yield pa.record_batch([pa.array(signed(key_of)), doc_id, th, *[pa.array(x.astype(np.int32)) for x in (b0, b1)], pa.array(later)], names=["g", "doc_id", "th", "b0", "b1", "later"])
 
 
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From runs sorted by hash and place, those that stand elsewhere than the first of their hash."""
+    """From runs sorted by hash and place, those that stand elsewhere than the first of their hash, and those known to."""
     last = None
     for b in batches:
+        known = b.column("later")
+        yield b.filter(known).select(["doc_id", "th", "b0", "b1"])
+        b = b.filter(pc.invert(known))
         if not b.num_rows:
             continue
         g = b.column("g").to_numpy()
@@ -309,7 +327,7 @@ def repeated_passages(docs: DataFrame, lines: DataFrame) -> DataFrame:
     met = docs.select("text").mapInArrow(_anchors, "a long, name long, twice boolean").repartition("a").sortWithinPartitions("a", "name").mapInArrow(_met, "a long, name long")
     wanted = cut(met.join(lines, "name").groupBy("doc_id", "th").agg(F.collect_set(F.struct("b0", "a")).alias("wanted")))
     texts = _with_wanted(docs, wanted)
-    runs = texts.mapInArrow(_wanted_runs, "g long, doc_id long, th long, b0 int, b1 int")
+    runs = texts.mapInArrow(_wanted_runs, "g long, doc_id long, th long, b0 int, b1 int, later boolean")
     return runs.repartition("g").sortWithinPartitions("g", "doc_id", "th", "b0").mapInArrow(_later, "doc_id long, th long, b0 int, b1 int")
 
 

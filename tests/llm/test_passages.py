@@ -3,7 +3,10 @@
 import random
 from collections import defaultdict
 
+import numpy as np
+
 from kestrata.llm import paragraph_dedup
+from kestrata.llm.paragraph_dedup import _not_first
 
 from . import brute
 from .test_operators import frame
@@ -75,3 +78,12 @@ def test_what_only_a_line_that_goes_holds_stays_elsewhere(spark):
     rows = [(1, f"{head} {tail}", "x"), (2, f"{head} {extra} {tail}", "x"), (3, f"{some(30)} {extra} {some(30)}", "x")]
     out = {r.doc_id: (r.n_removed, r.removed_bytes) for r in paragraph_dedup.repeated_paragraphs(frame(spark, rows)).collect()}
     assert out == {1: (0, 0), 2: (1, len(rows[1][1])), 3: (0, 0)}
+
+
+def test_first_places_of_a_chunk():
+    rng = np.random.default_rng(1)
+    for n in [0, 1, *range(2, 40)]:
+        g, has = rng.integers(0, 5, n).astype(np.uint64), rng.integers(0, 2, n).astype(bool)
+        place = has, np.where(has, rng.integers(0, 3, n), 0), rng.integers(-2, 2, n), rng.integers(0, 3, n)
+        rows = list(zip(*(x.tolist() for x in place), strict=True))
+        assert _not_first(g, *place).tolist() == [rows[i] != min(rows[j] for j in range(n) if g[j] == g[i]) for i in range(n)]
