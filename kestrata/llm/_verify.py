@@ -2,8 +2,10 @@
 
 Sets that may link share a group.  A group of up to ``MEMBERS`` is one task's
 work; a larger one is dealt to blocks, and each pair of blocks is compared
-where both meet, so that no task holds more than two blocks.  A task returns a
-spanning forest of the links it finds and each set's number of links.
+where both meet, so that no task holds more than two blocks.  Where it is known
+which blocks hold those that a set may link with (``meets``), it goes to no
+others.  A task returns a spanning forest of the links it finds and each set's
+number of links.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import cut
@@ -67,27 +69,47 @@ def forest(linked: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
+def blocks_of(n: Column) -> Column:
+    """Blocks of a group of n sets."""
+    return F.ceil(n / F.lit(MEMBERS)).cast("int")
+
+
+def block_of(id_: Column, blocks: Column) -> Column:
+    return F.pmod(F.xxhash64(id_), blocks).cast("int")
+
+
+def large_groups(groups: DataFrame) -> DataFrame:
+    """grp and __n, the number of sets, of the groups that are dealt to blocks."""
+    return groups.groupBy("grp").agg(F.count("*").alias("__n")).filter(F.col("__n") > MEMBERS)
+
+
+def dealt(sets: DataFrame, groups: DataFrame) -> DataFrame:
+    """A row for each pair of blocks (i, j) of its group that a set goes to: all that hold its own (blk), or those that its ``meets`` names."""
+    # the few large groups meet their size by broadcast, or under SALTS keys, so that none is one task's work
+    large = cut(large_groups(groups))
+    if large.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+        sized = sets.join(F.broadcast(large), "grp", "left")
+    else:
+        salted = sets.withColumn("__s", F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(SALTS)).cast("int"))
+        sized = salted.join(large.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["grp", "__s"], "left")
+    out = sized.withColumn("__k", F.coalesce(blocks_of(F.col("__n")), F.lit(1)))
+    out = out.withColumn("__own", block_of(F.col("id"), F.col("__k")))
+    others = F.sequence(F.lit(0), F.col("__k") - 1)
+    out = out.withColumn("__o", F.explode(F.when(F.col("__k") > 1, F.coalesce("meets", others)).otherwise(others) if "meets" in sets.columns else others))
+    return out.select("id", "weight", "tokens", F.col("__own").alias("blk"), "grp", F.least("__own", "__o").alias("i"), F.greatest("__own", "__o").alias("j"))
+
+
 def links(sets: DataFrame, groups: DataFrame, numerator: int, denominator: int) -> DataFrame:
     """sets (grp, id, weight, tokens: sorted distinct longs; repeats of an id are alike) -> rows (a, b, links).
 
     ``groups`` has a row (grp) a set, from where that is known without its tokens.
+    Sets may bring ``meets``: the blocks of those that they may link with, null for all.
 
     Rows with a != b are links with |intersection| * denominator >= numerator *
     |union|, enough of them to connect what links connect; rows with a = b
     carry parts of the number of a's links, each other set counted by weight.
     """
-    # the few large groups meet their size by broadcast, or under SALTS keys, so that none is one task's work
-    large = cut(groups.groupBy("grp").agg(F.count("*").alias("__n")).filter(F.col("__n") > MEMBERS))
-    if large.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
-        sized = sets.join(F.broadcast(large), "grp", "left")
-    else:
-        salted = sets.withColumn("__s", F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(SALTS)).cast("int"))
-        sized = salted.join(large.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["grp", "__s"], "left")
-    blocks = F.coalesce(F.ceil(F.col("__n") / F.lit(MEMBERS)), F.lit(1)).cast("int")
-    own = F.pmod(F.xxhash64("id"), F.col("__k")).cast("int")
-    dealt = sized.withColumn("__k", blocks).withColumn("__own", own)
-    dealt = dealt.withColumn("__o", F.explode(F.sequence(F.lit(0), F.col("__k") - 1)))
-    dealt = dealt.select("id", "weight", "tokens", F.col("__own").alias("blk"), "grp", F.least("__own", "__o").alias("i"), F.greatest("__own", "__o").alias("j"))
+    rows = dealt(sets, groups)
 
     def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """From rows sorted by group and block pair, many whole groups at once."""
@@ -110,7 +132,7 @@ def links(sets: DataFrame, groups: DataFrame, numerator: int, denominator: int)
             yield from compared(held, numerator, denominator)
 
     # without this, the join's partitioning by group would do, and a large group's blocks all stay in one task
-    return dealt.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "id").mapInArrow(whole_groups, "a long, b long, links long")
+    return rows.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "id").mapInArrow(whole_groups, "a long, b long, links long")
 
 
 def compared(batches: list[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:

@@ -20,7 +20,10 @@ The boundary is the size that makes the cost over the table's histogram of
 small sizes least: signatures emitted, plus exact checks that only lists need.
 Each list names its least set as the centre; candidate groups are the
 components of those stars, and ``_verify`` decides every pair of a group
-exactly.  Sets just above the boundary's partner range take part in both ways.
+exactly.  In groups of more than one block, that is every pair that shares a
+signature: a set goes only to blocks that hold such a partner, so chains of
+lists don't cost the square of their length.  Sets just above the boundary's
+partner range take part in both ways.
 
 Defined results: null, empty and blank texts have empty sets and link with
 nothing, not even with each other; a document with fewer words than a shingle
@@ -36,13 +39,15 @@ from math import ceil, comb, exp, sqrt
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._graph import connected_components
+from ._sieve import may_join, parted
 from ._spark import cut, hinted
 from ._text import Seen, U64, chunks, fmix, shingle_sets, signed
-from ._verify import links
+from ._verify import block_of, blocks_of, large_groups, links
 
 LIGHT_MOST = 32  # the boundary is sought up to this size
 CHECK_COST = 2.0  # of an exact check that a list may cause, in signatures
@@ -203,9 +208,11 @@ def frequent_bins(docs: DataFrame, k: int) -> np.ndarray:
     return bits.ravel()
 
 
-def candidate_groups(docs: DataFrame, k: int, num: int, den: int, x: int) -> DataFrame:
-    """(hi, grp): the sets, by the first half of their name, that share a list or subset with another, and their group."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent_bins(docs, k))
+def candidate_groups(docs: DataFrame, k: int, num: int, den: int, x: int, shared: Broadcast) -> DataFrame:
+    """(hi, grp): the sets, by the first half of their name, that share a list or subset with another, and their group.
+
+    ``shared`` are the frequent bins.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, seen = np.unpackbits(shared.value).astype(bool), Seen()
@@ -252,6 +259,68 @@ def star_groups(members: DataFrame) -> DataFrame:
     return connected_components(edges).select(F.col("node").alias("hi"), F.col("component").alias("grp"))
 
 
+def _partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (sig, id, blk, blocks) sorted, the blocks that each id meets by each list; -1 is all, where a list has half of them or more."""
+    held: list[pa.RecordBatch] = []
+
+    def lists(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(rows)
+        sig, ids, blk, blocks = (t.column(x).to_numpy() for x in ("sig", "id", "blk", "blocks"))
+        begin = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+        end = np.append(begin[1:], len(sig))
+        several = end - begin > 1
+        out = [np.zeros((2, 0), np.int64)]
+        for lo, hi in zip(begin[several].tolist(), end[several].tolist(), strict=True):
+            there, own = np.unique(blk[lo:hi]), np.unique(ids[lo:hi])
+            if 2 * len(there) >= blocks[lo]:
+                there = np.array([-1])
+            out.append(np.stack([np.repeat(own, len(there)), np.tile(there, len(own))]))
+        out = np.unique(np.concatenate(out, axis=1), axis=1)
+        yield pa.record_batch([pa.array(out[0]), pa.array(out[1].astype(np.int32))], names=["id", "o"])
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        sig = b.column("sig").to_numpy()
+        # the last list may go on in the next batch
+        last = int(np.searchsorted(sig, sig[-1]))
+        if held and (last or held[-1].column("sig")[0].as_py() != sig[0]):
+            first = int(np.searchsorted(sig, sig[0], "right")) if held[-1].column("sig")[0].as_py() == sig[0] else 0
+            yield from lists([*held, b.slice(0, first)])
+            held, b, last = [], b.slice(first), last - first
+        if last > 0:
+            yield from lists([b.slice(0, last)])
+        held.append(b.slice(max(last, 0)))
+    if held:
+        yield from lists(held)
+
+
+def meeting_blocks(texts: DataFrame, k: int, num: int, den: int, x: int, shared: Broadcast) -> DataFrame:
+    """texts (rep, hi, lo, blk, blocks, text) of sets of large groups -> id and meets, the blocks of sets that share a list or subset with it, null for all."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = np.unpackbits(shared.value).astype(bool)
+        for b in batches:
+            for c in chunks(b.column("text")):
+                v, at = shingle_sets(c, k)
+                hi, lo = _set_hashes(v, at)
+                part = b.slice(c.first, c.docs)
+                named = (part.column("hi").to_numpy() == signed(hi)) & (part.column("lo").to_numpy() == signed(lo))
+                for of, sig in _signatures(v, at, x, num, den, frequent):
+                    rows = part.select(["rep", "blk", "blocks"]).take(pa.array(of[named[of]]))
+                    yield pa.record_batch([pa.array(signed(sig[named[of]])), *rows.columns], names=["sig", "id", "blk", "blocks"])
+
+    lists = texts.select("rep", "hi", "lo", "blk", "blocks", "text").mapInArrow(emit, "sig long, id long, blk int, blocks int")
+    met = lists.repartition("sig").sortWithinPartitions("sig", "id").mapInArrow(_partners, "id long, o int").groupBy("id").agg(F.collect_set("o").alias("meets"))
+    return met.select("id", F.when(~F.array_contains("meets", -1), F.col("meets")).alias("meets"))
+
+
+def _with(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The texts (rep, text) that ``wanted`` has a row for; where that isn't broadcast, only they are shuffled."""
+    side = hinted(wanted, BROADCAST_ROWS)
+    return (docs if side is not wanted else may_join(docs, wanted, ["rep"])).join(side, "rep")
+
+
 def tokens(docs: DataFrame, k: int, keep: list[str]) -> DataFrame:
     """The columns ``keep`` and the sorted shingle set, as longs, of each text that has the set named by (hi, lo)."""
 
@@ -265,7 +334,7 @@ def tokens(docs: DataFrame, k: int, keep: list[str]) -> DataFrame:
                 named = (part.column("hi").to_numpy() == signed(hi)) & (part.column("lo").to_numpy() == signed(lo))
                 yield pa.record_batch([*[part.column(x) for x in keep], lists], names=[*keep, "tokens"]).filter(pa.array(named))
 
-    kinds = ", ".join(f"{c} long" for c in keep)
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep)
     return docs.select(*keep, "hi", "lo", "text").mapInArrow(scan, f"{kinds}, tokens array<long>")
 
 
@@ -276,10 +345,14 @@ def linked_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100
     reps = cut(reps)
     histogram = {r.n: r["count"] for r in reps.filter(F.col("n") <= LIGHT_MOST).groupBy("n").count().collect()}
     x = boundary(histogram, num, den)
-    groups = candidate_groups(docs, k, num, den, x)
+    shared = docs.sparkSession.sparkContext.broadcast(frequent_bins(docs, k))
+    groups = candidate_groups(docs, k, num, den, x, shared)
     wanted = cut(reps.join(groups, "hi").filter("rep is not null").select("rep", "hi", "lo", "weight", "grp"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(hinted(wanted, BROADCAST_ROWS), "rep")
-    sets = tokens(texts, k, ["grp", "rep", "weight"]).select("grp", F.col("rep").alias("id"), "weight", "tokens")
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
+    large = cut(wanted.join(large_groups(wanted), "grp").select("rep", "hi", "lo", blocks_of(F.col("__n")).alias("blocks")).withColumn("blk", block_of(F.col("rep"), F.col("blocks"))))
+    meets = meeting_blocks(_with(texts, large), k, num, den, x, shared)
+    asked = cut(wanted.join(meets.withColumnRenamed("id", "rep"), "rep", "left"))
+    sets = tokens(_with(texts, asked), k, ["grp", "rep", "weight", "meets"]).withColumnRenamed("rep", "id")
     found = cut(links(sets, wanted, num, den))
     comp = connected_components(found.select("a", "b"))
     direct = found.filter("a = b").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("__links"))
@@ -301,14 +374,18 @@ def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> D
 
     Of rows that repeat that document one stays; documents without words, and rows without an id, all stay.
     """
-    rows = cut(linked_components(docs, k, num, den))
-    grouped = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
-    stays = rows.filter(grouped & (F.col("doc_id") == F.col("component_id"))).groupBy("component_id").agg(F.min("text_hash").alias("__th"), F.count("*").alias("__copies"))
-    alone = rows.filter(~grouped).select("doc_id", F.col("text_hash").alias("__th")).distinct()
-    stays = stays.select(F.col("component_id").alias("__id"), "__th", "__copies").unionByName(alone.select(F.col("doc_id").alias("__id"), "__th", F.lit(1).cast("long").alias("__copies")))
-    stays = hinted(cut(stays), BROADCAST_ROWS)
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64("text").alias("th"))
-    kept = packed.join(stays, (F.col("row.doc_id").cast("long").eqNullSafe(F.col("__id"))) & (F.col("th") == F.col("__th")))
-    # only where an id is known to come twice do rows have to meet
-    once = kept.filter("__copies = 1").unionByName(kept.filter("__copies > 1").dropDuplicates(["__id", "__th"]))
+    rows = cut(linked_components(docs, k, num, den)).filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
+    first = F.col("doc_id") == F.col("component_id")
+    stays = rows.filter(first).groupBy("component_id").agg(F.min("text_hash").alias("__th"), F.count("*").alias("__copies"))
+    # all but the only first document of a group is judged: it goes, or one of its copies stays
+    judged = rows.join(stays, "component_id").filter(~first | (F.col("__copies") > 1))
+    judged = cut(judged.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__h")).agg(F.max(first & (F.col("text_hash") == F.col("__th"))).alias("__one")))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("__id"), F.xxhash64("text").alias("__h"))
+    side = hinted(judged, BROADCAST_ROWS)
+    # with many judged, the others are told by a filter of fixed size and stay where they are
+    some, rest = (packed, None) if side is not judged else parted(packed, judged, ["__id", "__h"])
+    met = some.join(side, ["__id", "__h"], "left")
+    once = met.filter("__one is null").select("row").unionByName(met.filter("__one").dropDuplicates(["__id", "__h"]).select("row"))
+    if rest is not None:
+        once = once.unionByName(rest.select("row"))
     return once.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
