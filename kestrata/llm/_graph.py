@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import cut, remove, written
+from ._spark import cut, hinted, remove, written
 
 PART_EDGES = 1 << 20  # of a task; its memory is bounded by them
+BROADCAST_ROWS = 500_000
 
 
 def least_reachable(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -67,35 +69,58 @@ def _stars(e: DataFrame, large: bool) -> DataFrame:
     return out.filter("a != b").distinct()
 
 
+def _finished(e: DataFrame) -> DataFrame:
+    """e (a, b): edges to the least node of a star, with ``whole``: whether the star is a component.
+
+    It is where none of its nodes is in another star.
+    """
+    nodes = e.select(F.col("a").alias("node"), F.col("b").alias("m")).unionByName(e.select(F.col("b").alias("node"), F.lit(None).cast("long").alias("m")))
+    nodes = nodes.groupBy("node").agg(F.min("m").alias("lo"), F.max("m").alias("hi"), (F.count("*") > F.count("m")).alias("centre"))
+    shared = cut(nodes.filter("lo < hi or lo is not null and centre").select("node"))
+    open_ = e.join(shared.withColumnRenamed("node", "a"), "a").select("b").unionByName(shared.select(F.col("node").alias("b"))).distinct()
+    open_ = cut(open_.withColumn("__open", F.lit(True)))
+    return e.join(hinted(open_, BROADCAST_ROWS), "b", "left").select("a", "b", F.col("__open").isNull().alias("whole"))
+
+
 def connected_components(edges: DataFrame, part: int = PART_EDGES) -> DataFrame:
     """edges (a, b) of longs -> (node, component), component the least node reachable; nodes without edges are absent.
 
     Edges always lead from the larger node a to the smaller b.  Each round
     replaces the edges of every part of at most ``part`` by a forest of stars;
-    where one part holds all, that is the answer.  Else stars join the parts.
+    where one part holds all, that is the answer.  Else large and small stars
+    join the parts, and stars that are whole components are done.
     Each round is a constant number of shuffles and is written out as a table,
     and the table before it is deleted; rounds grow with the logarithm of the
-    nodes.  Neither forests nor stars raise the sum of both ends over all
-    edges, and stars lower it unless the edges are stars already, so rounds
-    that change nothing have found the components.
+    nodes, and only what isn't done takes part in them.  Neither forests nor
+    stars raise the sum of both ends over all edges, and stars lower it unless
+    the edges are stars already, which are done then.
     """
     spark = edges.sparkSession
     e, path = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct())
-    seen = None
-    while True:
-        mark = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if mark == seen or not mark[0]:
-            break
-        seen, old = mark, path
-        parts = -(-mark[0] // part)
+    n, found = e.count(), []
+    while n:
+        parts, old = -(-n // part), path
         e, path = written(e.coalesce(parts).mapInArrow(_forest(part), "a long, b long"))
         remove(spark, old)
         if parts == 1:
+            found.append((e, path))
             break
         old = path
         e, path = written(_stars(_stars(e, True), False))
         remove(spark, old)
+        old = path
+        e, path = written(_finished(e))
+        remove(spark, old)
+        found.append((e.filter("whole").select("a", "b"), path))
+        e = e.filter("not whole").select("a", "b")
+        n = e.count()
+        if n:
+            e, path = written(e)
+    if not found:
+        found.append((e, path))
+    e = reduce(DataFrame.unionByName, [x for x, _ in found])
     roots = e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     out = cut(e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots))
-    remove(spark, path)
+    for _, path in found:
+        remove(spark, path)
     return out

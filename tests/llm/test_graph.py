@@ -5,6 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from kestrata.llm import _graph
 from kestrata.llm._graph import _forest, connected_components, least_reachable
 
 
@@ -51,3 +52,16 @@ def test_components_of_chains_hubs_and_cliques(spark, part):
     got = {r.node: r.component for r in rows}
     assert len(rows) == len(got) and got == plain([(x, y) for x, y in edges if x != y])
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_small_components_are_done_after_a_round(spark, monkeypatch):
+    rnd = random.Random(9)
+    nodes = rnd.sample(range(-(10**12), 10**12), 12_000)
+    edges = [tuple(rnd.sample((g := nodes[i : i + 4]), 2)) for i in range(0, 12_000, 4) for _ in range(4)]
+    edges += [(nodes[i], nodes[i + 1]) for i in range(0, 600)]  # and one long path through some of them
+    rows = []
+    whole = _graph.written
+    monkeypatch.setattr(_graph, "written", lambda df: (rows.append((out := whole(df))[0].count()), out)[1])
+    got = {r.node: r.component for r in _graph.connected_components(spark.createDataFrame(edges, "a long, b long").repartition(6), 2000).collect()}
+    assert got == plain(edges)
+    assert sum(rows) < 5 * rows[0], rows
