@@ -261,11 +261,19 @@ def _not_first(g: np.ndarray, *place: np.ndarray) -> np.ndarray:
     return np.logical_or.reduce([x != x[least] for x in place])
 
 
+def _overlapping(pick: np.ndarray, doc: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first and the last of each series of overlapping runs among the runs ``pick``, which ascend by document and place."""
+    new = np.ones(len(pick), bool)
+    new[1:] = (doc[pick[1:]] != doc[pick[:-1]]) | (b0[pick[1:]] >= b1[pick[:-1]])
+    begin = np.flatnonzero(new)
+    return pick[begin], pick[np.append(begin[1:], len(pick)) - 1] if len(pick) else pick
+
+
 def _wanted_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Hash and whereabouts of every run of a line with an anchor that was asked for there.
 
     ``later`` tells those whose like stands at an earlier place in the same chunk; they go whatever else there is,
-    so their ``key`` deals them anywhere, while the others meet by their hash.
+    so overlapping ones are one row, dealt anywhere by its key, while the others meet by their hash.
     """
     for b in batches:
         wanted = b.column("wanted")
@@ -283,8 +291,13 @@ def _wanted_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             b0, b1 = s[at] - c.at[doc], e[at + PASSAGE - 1] - c.at[doc]
             g = _hashes(h, at, at + PASSAGE)
             later = _not_first(g, np.asarray(doc_id.is_valid()), doc_id.fill_null(0).to_numpy(), th.to_numpy(), b0)
-            key_of = np.where(later, fmix(g + fmix(np.arange(len(g), dtype=np.uint64))), g)
-            yield pa.record_batch([pa.array(signed(key_of)), doc_id, th, *[pa.array(x.astype(np.int32)) for x in (b0, b1)], pa.array(later)], names=["g", "doc_id", "th", "b0", "b1", "later"])
+            first, last = _overlapping(np.flatnonzero(later), doc, b0, b1)
+            row = np.concatenate([np.flatnonzero(~later), first])
+            end = np.concatenate([b1[~later], b1[last]])
+            key_of = np.concatenate([g[~later], fmix(g[first] + fmix(first.astype(np.uint64)))])
+            of = pa.array(row)
+            columns = [pa.array(signed(key_of)), doc_id.take(of), th.take(of), pa.array(b0[row].astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(np.arange(len(row)) >= len(row) - len(first))]
+            yield pa.record_batch(columns, names=["g", "doc_id", "th", "b0", "b1", "later"])
 
 
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -87,3 +87,26 @@ def test_first_places_of_a_chunk():
         place = has, np.where(has, rng.integers(0, 3, n), 0), rng.integers(-2, 2, n), rng.integers(0, 3, n)
         rows = list(zip(*(x.tolist() for x in place), strict=True))
         assert _not_first(g, *place).tolist() == [rows[i] != min(rows[j] for j in range(n) if g[j] == g[i]) for i in range(n)]
+
+
+def test_overlapping_runs_known_to_go_are_one_row():
+    import pyarrow as pa
+
+    words = " ".join(f"p{n}" for n in range(60))
+    texts = [words, "x " + words + " y", words + " " + words]
+    wanted = pa.array([[{"b0": 0, "a": a} for a in _anchors_of(t)] for t in texts])
+    batch = pa.record_batch([pa.array([1, 2, 3]), pa.array([11, 12, 13]), pa.array(texts), wanted], names=["doc_id", "th", "text", "wanted"])
+    rows = [r for b in paragraph_dedup._wanted_runs(iter([batch])) for r in b.to_pylist()]
+    gone = [(r["doc_id"], r["b0"], r["b1"]) for r in rows if r["later"]]
+    # joints of the repeated words are no repeats
+    assert sorted(gone) == [(2, 2, 2 + len(words)), (3, 0, len(words)), (3, len(words) + 1, 2 * len(words) + 1)]
+    assert sum(r["doc_id"] == 1 for r in rows) == 60 - paragraph_dedup.PASSAGE + 1
+
+
+def _anchors_of(text):
+    import pyarrow as pa
+
+    from kestrata.llm._text import chunks
+
+    (c,) = chunks(pa.array([text]))
+    return np.unique(paragraph_dedup._runs(c)[8]).view(np.int64).tolist()
