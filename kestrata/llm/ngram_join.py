@@ -378,8 +378,10 @@ def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> D
     first = F.col("doc_id") == F.col("component_id")
     stays = rows.filter(first).groupBy("component_id").agg(F.min("text_hash").alias("__th"), F.count("*").alias("__copies"))
     # all but the only first document of a group is judged: it goes, or one of its copies stays
-    judged = rows.join(stays, "component_id").filter(~first | (F.col("__copies") > 1))
-    judged = cut(judged.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__h")).agg(F.max(first & (F.col("text_hash") == F.col("__th"))).alias("__one")))
+    key = (F.col("doc_id").alias("__id"), F.col("text_hash").alias("__h"))
+    copies = rows.filter(first).join(stays.filter("__copies > 1"), "component_id").select(*key, (F.col("text_hash") == F.col("__th")).alias("__one"))
+    judged = rows.filter(~first).select(*key, F.lit(False).alias("__one")).unionByName(copies)
+    judged = cut(judged.groupBy("__id", "__h").agg(F.max("__one").alias("__one")))
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("__id"), F.xxhash64("text").alias("__h"))
     side = hinted(judged, BROADCAST_ROWS)
     # with many judged, the others are told by a filter of fixed size and stay where they are
