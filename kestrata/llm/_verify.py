@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import cut
+from ._text import trimmed
 
 MEMBERS = 256
 FEW = 24  # members of a group whose pairs are compared one by one, together with those of other groups
@@ -132,7 +133,7 @@ def links(sets: DataFrame, groups: DataFrame, numerator: int, denominator: int)
             yield from compared(held, numerator, denominator)
 
     # without this, the join's partitioning by group would do, and a large group's blocks all stay in one task
-    return rows.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "id").mapInArrow(whole_groups, "a long, b long, links long")
+    return rows.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "id").mapInArrow(trimmed(whole_groups), "a long, b long, links long")
 
 
 def compared(batches: list[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:

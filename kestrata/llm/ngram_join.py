@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from ._graph import connected_components
 from ._sieve import may_join, parted
 from ._spark import cut, hinted
-from ._text import Seen, U64, chunks, fmix, shingle_sets, signed
+from ._text import Seen, U64, chunks, fmix, shingle_sets, signed, trimmed
 from ._verify import block_of, blocks_of, large_groups, links
 
 LIGHT_MOST = 32  # the boundary is sought up to this size
@@ -177,7 +177,7 @@ def classes(docs: DataFrame, k: int) -> DataFrame:
                 yield pa.record_batch([b.column("doc_id"), b.column("text_hash"), pa.array(np.concatenate(n)), pa.array(np.concatenate(hi)), pa.array(np.concatenate(lo))], names=["doc_id", "text_hash", "n_shingles", "hi", "lo"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInArrow(scan, "doc_id long, text_hash long, n_shingles long, hi long, lo long")
+    return rows.mapInArrow(trimmed(scan), "doc_id long, text_hash long, n_shingles long, hi long, lo long")
 
 
 def frequent_bins(docs: DataFrame, k: int) -> np.ndarray:
@@ -201,7 +201,7 @@ def frequent_bins(docs: DataFrame, k: int) -> np.ndarray:
         often = total > max(8.0, total.mean() + FREQUENT * sqrt(total.mean()))
         return pa.table([pa.array([t.column("slice")[0].as_py()], pa.int32()), pa.array([np.packbits(often).tobytes()])], names=["slice", "often"])
 
-    counts = docs.select("text").mapInArrow(count, "slice int, width int, counts binary").groupBy("slice").applyInArrow(add, "slice int, often binary")
+    counts = docs.select("text").mapInArrow(trimmed(count), "slice int, width int, counts binary").groupBy("slice").applyInArrow(add, "slice int, often binary")
     bits = np.zeros((BIN_SLICES, width // 8), np.uint8)
     for r in counts.collect():
         bits[r["slice"]] = np.frombuffer(r.often, np.uint8)
@@ -230,7 +230,7 @@ def candidate_groups(docs: DataFrame, k: int, num: int, den: int, x: int, shared
                     of = hi[np.concatenate([d for d, _ in found])]
                     yield pa.record_batch([pa.array(signed(sig)), pa.array(signed(of))], names=["sig", "hi"])
 
-    sig = docs.select("text").mapInArrow(emit, "sig long, hi long")
+    sig = docs.select("text").mapInArrow(trimmed(emit), "sig long, hi long")
     return star_groups(sig)
 
 
@@ -310,7 +310,7 @@ def meeting_blocks(texts: DataFrame, k: int, num: int, den: int, x: int, shared:
                     rows = part.select(["rep", "blk", "blocks"]).take(pa.array(of[named[of]]))
                     yield pa.record_batch([pa.array(signed(sig[named[of]])), *rows.columns], names=["sig", "id", "blk", "blocks"])
 
-    lists = texts.select("rep", "hi", "lo", "blk", "blocks", "text").mapInArrow(emit, "sig long, id long, blk int, blocks int")
+    lists = texts.select("rep", "hi", "lo", "blk", "blocks", "text").mapInArrow(trimmed(emit), "sig long, id long, blk int, blocks int")
     met = lists.repartition("sig").sortWithinPartitions("sig", "id").mapInArrow(_partners, "id long, o int").groupBy("id").agg(F.collect_set("o").alias("meets"))
     return met.select("id", F.when(~F.array_contains("meets", -1), F.col("meets")).alias("meets"))
 
@@ -335,7 +335,7 @@ def tokens(docs: DataFrame, k: int, keep: list[str]) -> DataFrame:
                 yield pa.record_batch([*[part.column(x) for x in keep], lists], names=[*keep, "tokens"]).filter(pa.array(named))
 
     kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, "hi", "lo", "text").mapInArrow(scan, f"{kinds}, tokens array<long>")
+    return docs.select(*keep, "hi", "lo", "text").mapInArrow(trimmed(scan), f"{kinds}, tokens array<long>")
 
 
 def linked_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 
 from ._sieve import may_join
 from ._spark import cut, hinted
-from ._text import U64, alnum_spans, chunks, fmix, hash_ranges
+from ._text import U64, alnum_spans, chunks, fmix, hash_ranges, trimmed
 
 PART_ROWS = 8_000  # that one task learns from
 PART_BYTES = 32 << 20
@@ -268,7 +268,7 @@ def _learnt(rows: DataFrame, state: State, epochs: int, seed: int, only: int | N
         return pa.table({"slice": pa.array([slice_], pa.int32()), "rows": [at], "change": [total.tobytes()]})
 
     columns = "slice int, part int, rows binary, change binary"
-    found = rows.select("toxic", "text").mapInArrow(run, columns).groupBy("slice").applyInArrow(mean, "slice int, rows binary, change binary")
+    found = rows.select("toxic", "text").mapInArrow(trimmed(run), columns).groupBy("slice").applyInArrow(mean, "slice int, rows binary, change binary")
     flat, table, seen = _flat(state), state.model.table.copy(), state.seen[0].copy()
     for r in found.collect():  # as large as the model, whatever the number of parts
         change = np.frombuffer(r.change, np.float64)
@@ -354,7 +354,7 @@ def train(docs: DataFrame, labels: DataFrame, seed: int = 5) -> Model:
                     yield pa.record_batch([b.column("toxic"), b.column("lang"), pa.array(np.rint(np.concatenate(score).astype(np.float64) / BIN).astype(np.int64))], names=["toxic", "lang", "bin"])
 
         shared = docs.sparkSession.sparkContext.broadcast(m)
-        bins = kept.select("toxic", "lang", "text").mapInArrow(raw, "toxic double, lang string, bin long").groupBy("toxic", "lang", "bin").count().toArrow()
+        bins = kept.select("toxic", "lang", "text").mapInArrow(trimmed(raw), "toxic double, lang string, bin long").groupBy("toxic", "lang", "bin").count().toArrow()
         bins = bins.sort_by([("bin", "ascending"), ("lang", "ascending"), ("toxic", "ascending")])
         _calibrate(m, bins.column("bin").to_numpy() * BIN, bins.column("toxic").to_numpy(), bins.column("lang").to_pylist(), bins.column("count").to_numpy())
         shared.unpersist()
@@ -372,7 +372,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             bar = np.array([shared.value.thresholds.get(x, COMMON) for x in b.column("lang").to_pylist()])
             yield pa.record_batch([b.column("row"), pa.array(score, pa.float64()), pa.array(score >= bar)], names=["row", "score", "reject"])
 
-    return packed.mapInArrow(run, T.StructType([packed.schema["row"], T.StructField("score", T.DoubleType()), T.StructField("reject", T.BooleanType())]))
+    return packed.mapInArrow(trimmed(run), T.StructType([packed.schema["row"], T.StructField("score", T.DoubleType()), T.StructField("reject", T.BooleanType())]))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -386,7 +386,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
             bar = np.array([shared.value.thresholds.get(x, COMMON) for x in b.column("lang").to_pylist()])
             yield pa.record_batch([b.column("doc_id"), pa.array(score, pa.float64()), pa.array(score >= bar)], names=["doc_id", "score", "rejected"])
 
-    out = docs.select("doc_id", "text", "lang").mapInArrow(run, T.StructType([docs.schema["doc_id"], T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]))
+    out = docs.select("doc_id", "text", "lang").mapInArrow(trimmed(run), T.StructType([docs.schema["doc_id"], T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= COMMON).cast("int").alias("predicted"), "rejected")
 
 

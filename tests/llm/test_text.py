@@ -2,11 +2,12 @@ import numpy as np
 import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from kestrata.llm._dc3 import suffix_array
 from kestrata.llm._fm import FMIndex
 from kestrata.llm._spark import BATCH_ROWS, small_batches
-from kestrata.llm._text import alnum_spans, chunks, shingle_sets, spans, words
+from kestrata.llm._text import alnum_spans, chunks, shingle_sets, spans, trimmed, words
 from kestrata.llm.mixing import permuted
 from kestrata.llm.ppm import HashTable
 
@@ -84,3 +85,32 @@ def test_session_settings_hold_where_none_are_set(spark):
     session.conf.set(ours[0][0], "77")
     small_batches(session)
     assert session.conf.get(ours[0][0]) == "77"
+
+
+def test_arrow_batches_of_long_rows_are_bounded(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([b.nbytes])], names=["size"])
+
+    session = spark.newSession()
+    small_batches(session)
+    rows = session.range(0, 200, 1, 1).select(F.repeat(F.lit("long row "), 20_000).alias("text"))
+    found = [r[0] for r in rows.mapInArrow(sizes, "size long").collect()]
+    assert sum(found) > 30 << 20 and max(found) < 6 << 20
+
+
+def test_a_task_gives_freed_memory_back():
+    def held():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096
+
+    def work(batches):
+        small = [np.ones(6000) for _ in range(4000)]  # below the size of arrays that are mapped on their own
+        keep.append(np.ones(6000))  # a later one that stays
+        yield from batches
+        del small
+
+    keep = []
+    before = held()
+    assert list(trimmed(work)(iter([1]))) == [1]
+    assert held() - before < 60 << 20
