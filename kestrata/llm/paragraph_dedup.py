@@ -38,9 +38,9 @@ from pyspark.sql import functions as F
 from ._graph import connected_components
 from ._sieve import may_join
 from ._spark import cut, written
-from ._text import _R, _R_INV, U64, Chunk, Seen, chunks, fmix, hash_ranges, powers, shingles_of, signed, spans
+from ._text import _R, _R_INV, U64, Chunk, Seen, chunks, fmix, hash_ranges, powers, shingles_of, signed, spans, trimmed
 from ._verify import links
-from .ngram_join import _set_hashes, star_groups
+from .ngram_join import _set_hashes
 
 REACH = 10
 MIN_WORDS = 8
@@ -48,6 +48,8 @@ PASSAGE = 24
 GRAM = 8
 ROWS_PER_BAND = 2
 RECALL = 0.997
+PACKED = 1 << 19  # band entries of a task that are dealt to buckets at once
+BUCKET_ENTRIES = 1 << 21  # of a bucket that are sorted at once
 
 
 def bands(threshold: float, recall: float = RECALL, rows: int = ROWS_PER_BAND) -> int:
@@ -153,11 +155,73 @@ def _units(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, th long, hi long, lo long, name long, kind int, line int, b0 int, b1 int")
 
 
-def _band_rows(docs: DataFrame, k: int, n_bands: int) -> DataFrame:
+def _dealt(sig: np.ndarray, hi: np.ndarray, bits: int) -> pa.RecordBatch:
+    """The entries in buckets by the first bits of sig, a row a bucket."""
+    bucket = (sig >> U64(64 - bits)).astype(np.uint16 if bits <= 16 else np.uint32)
+    by = np.argsort(bucket, kind="stable")
+    some, at = np.unique(bucket[by], return_index=True)
+    offsets = pa.py_buffer(np.append(at, len(by)).astype(np.int32) * 8)
+    packed = [pa.Array.from_buffers(pa.binary(), len(some), [None, offsets, pa.py_buffer(np.ascontiguousarray(x[by]))]) for x in (sig, hi)]
+    return pa.record_batch([pa.array(some.astype(np.int32)), *packed], names=["bucket", "sig", "hi"])
+
+
+def _unpacked(column: pa.Array) -> np.ndarray:
+    """The longs in a column of packed ones."""
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]].copy().view(np.int64)
+
+
+def _folded(sig: np.ndarray, hi: np.ndarray) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
+    """Edges from the least hi of each sig to its others; each sig and that least hi."""
+    by = np.argsort(sig)
+    sig, hi = sig[by], hi[by]
+    begin = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+    least = np.minimum.reduceat(hi, begin)
+    of = np.repeat(least, np.diff(np.append(begin, len(sig))))
+    a, b = of[of != hi], hi[of != hi]
+    by = np.lexsort((b, a))
+    a, b = a[by], b[by]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return pa.record_batch([pa.array(a[new]), pa.array(b[new])], names=["a", "b"]), sig[begin], least
+
+
+def _bucket_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From packed rows sorted by bucket, stars that connect the hi of each sig; holds a part of a bucket, and a row for each of its sigs."""
+    last, held, n = None, [], 0
+
+    def fold(parts: list) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
+        return _folded(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+
+    for b in batches:
+        bucket = b.column("bucket").to_numpy()
+        begin = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])).tolist() if len(bucket) else []
+        for lo, end in zip(begin, [*begin[1:], len(bucket)], strict=True):
+            if held and bucket[lo] != last:
+                yield fold(held)[0]
+                held, n = [], 0
+            last = bucket[lo]
+            part = b.slice(lo, end - lo)
+            held.append((_unpacked(part.column("sig")), _unpacked(part.column("hi"))))
+            n += len(held[-1][0])
+            if n > BUCKET_ENTRIES:  # from here on the sigs so far are told by their least hi
+                edges, sig, least = fold(held)
+                yield edges
+                held, n = [(sig, least)], 0
+    if held:
+        yield fold(held)[0]
+
+
+def _band_groups(docs: DataFrame, k: int, n_bands: int) -> DataFrame:
+    """(hi, grp) of the sets that share a band with another; groups are the components.
+
+    Entries of bands are shuffled packed by bucket, a few rows for each task, and sorted as arrays.
+    """
+    bits = max(1, (4 * docs.rdd.getNumPartitions() - 1).bit_length())
     salts = [int(x) for x in fmix(np.arange(1, n_bands * ROWS_PER_BAND + 1, dtype=np.uint64))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = Seen()
+        seen, held, n = Seen(), [], 0
         for b in batches:
             for c in chunks(b.column("text")):
                 v, offsets, hi, *_ = _sets(c, k)
@@ -172,9 +236,17 @@ def _band_rows(docs: DataFrame, k: int, n_bands: int) -> DataFrame:
                         i = band * ROWS_PER_BAND + r
                         total += fmix(np.minimum.reduceat(fmix(v ^ U64(salts[i])), offsets[:-1])[one] + U64(i))
                     sig.append(fmix(total + U64(band)))
-                yield pa.record_batch([pa.array(signed(np.concatenate(sig))), pa.array(np.tile(signed(hi), n_bands))], names=["sig", "hi"])
+                held.append((np.concatenate(sig), np.tile(hi, n_bands)))
+                n += len(held[-1][0])
+                if n >= PACKED:
+                    yield _dealt(*(np.concatenate(x) for x in zip(*held, strict=True)), bits)
+                    held, n = [], 0
+        if held:
+            yield _dealt(*(np.concatenate(x) for x in zip(*held, strict=True)), bits)
 
-    return docs.select("text").mapInArrow(run, "sig long, hi long")
+    packed = docs.select("text").mapInArrow(trimmed(run), "bucket int, sig binary, hi binary")
+    edges = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(trimmed(_bucket_stars), "a long, b long").distinct()
+    return connected_components(edges).select(F.col("node").alias("hi"), F.col("component").alias("grp"))
 
 
 def _tokens(k: int):
@@ -368,7 +440,7 @@ def repeated_paragraphs(docs: DataFrame, k: int = 5, num: int = 80, den: int = 1
     """doc_id, n_paragraphs, n_removed, removed_bytes and removed ("start:end" by bytes, comma-joined) of every document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
     units, _ = written(_units(docs, k))
-    groups = cut(star_groups(_band_rows(docs, k, bands(num / den))))
+    groups = cut(_band_groups(docs, k, bands(num / den)))
     here = F.struct("doc_id", "th", "b0")
     firsts = (F.min(here).alias("first"), F.min(F.when(F.col("kind") > 0, here)).alias("line"))
     sets = cut(units.filter("kind >= 0").groupBy("hi", "lo").agg(F.count("*").alias("n"), *firsts).join(groups, "hi", "left").filter("n > 1 or grp is not null"))
@@ -391,7 +463,9 @@ def repeated_paragraphs(docs: DataFrame, k: int = 5, num: int = 80, den: int = 1
     hits = hits.select("doc_id", "th", F.lit(None).cast("int").alias("n"), F.when(gone, span).alias("span"), F.when(~gone & (F.col("kind") > 0), span).alias("kept"))
     lines = units.filter("kind > 0 and name != 0").join(named.select("hi", "lo", "stays"), ["hi", "lo"], "left")
     lines = lines.filter(F.col("stays").isNull() | here.eqNullSafe(F.col("stays"))).select("name", "doc_id", "th", "b0").distinct()
-    runs = repeated_passages(docs, lines).select("doc_id", "th", F.lit(None).cast("int").alias("n"), span.alias("span"), none.alias("kept"))
+    # a table, so that the shuffles of texts and runs are gone when the last one is written
+    passages, _ = written(repeated_passages(docs, lines))
+    runs = passages.select("doc_id", "th", F.lit(None).cast("int").alias("n"), span.alias("span"), none.alias("kept"))
     every = units.filter("kind < 0").select("doc_id", "th", F.col("b0").alias("n"), none.alias("span"), none.alias("kept"))
     out = every.unionByName(hits).unionByName(runs).groupBy("doc_id", "th").agg(
         F.count("n").cast("int").alias("rows"),

@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 
 from kestrata.llm import paragraph_dedup
 from kestrata.llm.paragraph_dedup import _not_first
@@ -110,3 +111,21 @@ def _anchors_of(text):
 
     (c,) = chunks(pa.array([text]))
     return np.unique(paragraph_dedup._runs(c)[8]).view(np.int64).tolist()
+
+
+def test_band_entries_meet_packed(monkeypatch):
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(paragraph_dedup, "BUCKET_ENTRIES", 50)  # several parts a bucket
+    sig = rng.integers(0, 1 << 64, 300, np.uint64)[rng.integers(0, 300, 900)]
+    hi = rng.integers(0, 400, 900).astype(np.uint64)
+    rows = pa.Table.from_batches([paragraph_dedup._dealt(sig[lo : lo + 90], hi[lo : lo + 90], 3) for lo in range(0, 900, 90)])
+    assert rows.num_rows == 80  # a row for each part and bucket
+    rows = rows.sort_by([("bucket", "ascending")]).combine_chunks()
+    u, want = brute.Union(range(400)), brute.Union(range(400))
+    for b in paragraph_dedup._bucket_stars(rows.to_batches(max_chunksize=7)):
+        for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True):
+            u.join(x, y)
+    first = {}
+    for s, h in zip(sig.tolist(), hi.tolist(), strict=True):
+        want.join(first.setdefault(s, h), h)
+    assert [u.find(x) for x in range(400)] == [want.find(x) for x in range(400)]
