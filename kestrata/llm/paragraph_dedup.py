@@ -5,7 +5,8 @@ words is least within ``REACH`` words on either side, so that a passage is cut
 alike wherever it stands.  Lines and their pieces of ``MIN_WORDS`` words or
 more are compared by their sets of word shingles: equal sets form classes,
 classes meet in bands of MinHashes (tuned to a recall of ``RECALL`` at the
-threshold), ``_verify`` decides exact Jaccard inside the groups that meet.
+threshold), ``_verify`` decides exact Jaccard inside the groups that meet,
+between sets of which another there has a size that allows the threshold.
 
 What goes, by place (doc_id, hash of the text, first byte):
 
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 
 from ._graph import connected_components
 from ._sieve import may_join
-from ._spark import cut, written
+from ._spark import cut, remove, written
 from ._text import _R, _R_INV, U64, Chunk, Seen, chunks, fmix, hash_ranges, powers, shingles_of, signed, spans, trimmed
 from ._verify import links
 from .ngram_join import _set_hashes
@@ -141,18 +142,18 @@ def _units(docs: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for c in chunks(b.column("text")):
-                _, _, hi, lo, doc, kind, line, b0, b1, name, n = _sets(c, k)
+                _, offsets, hi, lo, doc, kind, line, b0, b1, name, n = _sets(c, k)
                 every = np.concatenate([doc, np.arange(c.docs)])
                 at = pa.array(every + c.first)
                 zero = np.zeros(c.docs, np.int64)
                 yield pa.record_batch(
                     [b.column("doc_id").take(at), b.column("th").take(at)]
                     + [pa.array(np.concatenate([signed(x), zero])) for x in (hi, lo, name)]
-                    + [pa.array(np.concatenate(x).astype(np.int32)) for x in ((kind, zero - 1), (line, zero), (b0, n), (b1, zero))],
-                    names=["doc_id", "th", "hi", "lo", "name", "kind", "line", "b0", "b1"],
+                    + [pa.array(np.concatenate(x).astype(np.int32)) for x in ((kind, zero - 1), (line, zero), (b0, n), (b1, zero), (np.diff(offsets), zero))],
+                    names=["doc_id", "th", "hi", "lo", "name", "kind", "line", "b0", "b1", "size"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, th long, hi long, lo long, name long, kind int, line int, b0 int, b1 int")
+    return docs.mapInArrow(run, "doc_id long, th long, hi long, lo long, name long, kind int, line int, b0 int, b1 int, size int")
 
 
 def _dealt(sig: np.ndarray, hi: np.ndarray, bits: int) -> pa.RecordBatch:
@@ -249,6 +250,20 @@ def _band_groups(docs: DataFrame, k: int, n_bands: int) -> DataFrame:
     return connected_components(edges).select(F.col("node").alias("hi"), F.col("component").alias("grp"))
 
 
+def _fitting(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """sets (hi, lo, size, grp and others) with no grp where none of the group has a size that allows the threshold.
+
+    An intersection is no larger than the smaller set, and of all sizes of a
+    group the next ones up and down are the likeliest to fit.
+    """
+    sizes = sets.filter("grp is not null").groupBy("grp", "size").agg(F.count("*").alias("m"), F.min("hi").alias("hi"), F.min("lo").alias("lo"))
+    near = Window.partitionBy("grp").orderBy("size")
+    below, above = F.lag("size").over(near), F.lead("size").over(near)
+    sizes = sizes.withColumn("fits", F.coalesce(below * den >= F.col("size") * num, F.lit(False)) | F.coalesce(F.col("size") * den >= above * num, F.lit(False)))
+    alone = sizes.filter("m = 1 and not fits").select("hi", "lo", F.lit(True).alias("alone"))
+    return sets.join(alone, ["hi", "lo"], "left").withColumn("grp", F.when(F.col("alone").isNull(), F.col("grp"))).drop("alone", "size")
+
+
 def _tokens(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -443,16 +458,20 @@ def repeated_paragraphs(docs: DataFrame, k: int = 5, num: int = 80, den: int = 1
     groups = cut(_band_groups(docs, k, bands(num / den)))
     here = F.struct("doc_id", "th", "b0")
     firsts = (F.min(here).alias("first"), F.min(F.when(F.col("kind") > 0, here)).alias("line"))
-    sets = cut(units.filter("kind >= 0").groupBy("hi", "lo").agg(F.count("*").alias("n"), *firsts).join(groups, "hi", "left").filter("n > 1 or grp is not null"))
+    size = F.max("size").alias("size")
+    sets, path = written(units.filter("kind >= 0").groupBy("hi", "lo").agg(F.count("*").alias("n"), size, *firsts).join(groups, "hi", "left").filter("n > 1 or grp is not null"))
+    sets = cut(_fitting(sets, num, den).filter("n > 1 or grp is not null"))
+    remove(docs.sparkSession, path)
     wanted = cut(sets.filter("grp is not null").groupBy("first.doc_id", "first.th").agg(F.collect_list(F.struct("hi", "lo", "grp")).alias("wanted")))
     texts = _with_wanted(docs, wanted).select("wanted", "text")
     found = cut(links(texts.mapInArrow(_tokens(k), "grp long, id long, weight long, tokens array<long>"), sets.filter("grp is not null"), num, den).select("a", "b").filter("a != b"))
     component = connected_components(found).select(F.col("node").alias("hi"), "component")
-    named = sets.join(component, "hi", "left").withColumn("component", F.coalesce("component", "hi"))
+    # a set that stands once and links with none decides nothing
+    named = sets.join(component, "hi", "left").filter("n > 1 or component is not null").withColumn("component", F.coalesce("component", "hi"))
     stays = named.groupBy("component").agg(F.min("line").alias("stays"))
     named = cut(named.select("hi", "lo", "component").join(stays, "component").select("hi", "lo", "component", "stays"))
     # lines first; what is in lines that go decides nothing more
-    hits = units.filter("kind >= 0").join(named, ["hi", "lo"]).drop("hi", "lo", "name")
+    hits = units.filter("kind >= 0").join(named, ["hi", "lo"]).drop("hi", "lo", "name", "size")
     gone = (F.col("kind") > 0) & ~here.eqNullSafe(F.col("stays"))
     hits = cut(hits.withColumn("dead", F.max(gone).over(Window.partitionBy("doc_id", "th", "line"))).drop("stays"))
     first = hits.filter("kind < 2 and not dead").groupBy("component").agg(F.min(here).alias("first"))

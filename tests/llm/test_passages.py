@@ -129,3 +129,27 @@ def test_band_entries_meet_packed(monkeypatch):
     for s, h in zip(sig.tolist(), hi.tolist(), strict=True):
         want.join(first.setdefault(s, h), h)
     assert [u.find(x) for x in range(400)] == [want.find(x) for x in range(400)]
+
+
+def test_sets_whose_sizes_forbid_a_link_are_not_compared(spark, monkeypatch):
+    rnd = random.Random(8)
+    some = lambda n: [f"v{rnd.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for i in range(60):
+        words = some(22)  # lines of so many are not cut
+        rows += [(3 * i, " ".join(words)), (3 * i + 1, " ".join(words[:14]))]  # 10 of 18 shingles: most meet in bands
+        near = [*words[:14], "other"] if i % 3 == 0 else some(15)
+        rows.append((3 * i + 2, " ".join(near)))
+    compared = []
+    links = paragraph_dedup.links
+
+    def spied(sets, groups, *threshold):
+        compared.extend(r.id for r in sets.collect())
+        return links(sets, groups, *threshold)
+
+    monkeypatch.setattr(paragraph_dedup, "links", spied)
+    out = {r.doc_id: r for r in paragraph_dedup.repeated_paragraphs(frame(spark, [(i, t, "x") for i, t in rows])).collect()}
+    assert 40 <= len(compared) <= 60  # of 20 texts, those of 14 and 15 words, and with them their group's of 22
+    text = dict(rows)
+    for i in range(60):
+        assert (out[3 * i + 2].removed == f"0:{len(text[3 * i + 2])}") == (i % 3 == 0)
