@@ -4,7 +4,9 @@ Sets that may link share a group.  A group of up to ``MEMBERS`` is one task's
 work; a larger one is dealt to blocks, and each pair of blocks is compared
 where both meet, so that no task holds more than two blocks.  Where it is known
 which blocks hold those that a set may link with (``meets``), it goes to no
-others.  A task returns a spanning forest of the links it finds and each set's
+others.  Where links are asked for and not their number, ``narrowed`` parts a
+large group first by the rare tokens that sets which link must share.  A task
+returns a spanning forest of the links it finds and each set's
 number of links.
 """
 
@@ -18,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import cut
-from ._text import trimmed
+from ._text import U64, fmix, trimmed
 
 MEMBERS = 256
 FEW = 24  # members of a group whose pairs are compared one by one, together with those of other groups
@@ -26,6 +28,8 @@ PAIR_TOKENS = 1 << 20
 SALTS = 32
 MOST_BROADCAST = 100_000  # large groups, two numbers each
 COLUMNS = 1 << 14
+CELL_BITS = 22  # of a token's cell: 8 MB of counters, whatever the number of tokens
+SLICE_BITS = 16
 
 _OUT = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
 
@@ -84,15 +88,85 @@ def large_groups(groups: DataFrame) -> DataFrame:
     return groups.groupBy("grp").agg(F.count("*").alias("__n")).filter(F.col("__n") > MEMBERS)
 
 
-def dealt(sets: DataFrame, groups: DataFrame) -> DataFrame:
-    """A row for each pair of blocks (i, j) of its group that a set goes to: all that hold its own (blk), or those that its ``meets`` names."""
+def _sized(sets: DataFrame, groups: DataFrame) -> DataFrame:
+    """sets with __n, the number of sets of their group where that is large."""
     # the few large groups meet their size by broadcast, or under SALTS keys, so that none is one task's work
     large = cut(large_groups(groups))
     if large.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
-        sized = sets.join(F.broadcast(large), "grp", "left")
-    else:
-        salted = sets.withColumn("__s", F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(SALTS)).cast("int"))
-        sized = salted.join(large.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["grp", "__s"], "left")
+        return sets.join(F.broadcast(large), "grp", "left")
+    salted = sets.withColumn("__s", F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(SALTS)).cast("int"))
+    return salted.join(large.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["grp", "__s"], "left").drop("__s")
+
+
+def _cells(grp: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    return (fmix(fmix(grp.view(np.uint64)) + flat.view(np.uint64)) >> U64(64 - CELL_BITS)).astype(np.int64)
+
+
+def _listed(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of the sets of a batch, the row of each, and the sizes."""
+    column = b.column("tokens")
+    at = column.offsets.to_numpy().astype(np.int64)
+    size = np.diff(at)
+    return column.values.to_numpy()[at[0] : at[-1]], np.repeat(np.arange(len(size)), size), size
+
+
+def _counts(sets: DataFrame) -> np.ndarray:
+    """For each cell of (grp, token), in how many sets it occurs: at least as often as any of its tokens, up to 65 535."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            flat, row, _ = _listed(b)
+            cell, n = np.unique(_cells(b.column("grp").to_numpy()[row], flat), return_counts=True)
+            yield pa.record_batch([pa.array(cell.astype(np.int32)), pa.array(n)], names=["cell", "n"])
+
+    def pack(t: pa.Table) -> pa.Table:
+        n = np.zeros(1 << SLICE_BITS, np.uint16)
+        n[t.column("cell").to_numpy() & ((1 << SLICE_BITS) - 1)] = np.minimum(t.column("n").to_numpy(), 65535)
+        return pa.table([pa.array([t.column("s")[0].as_py()], pa.int32()), pa.array([n.tobytes()])], names=["s", "n"])
+
+    summed = sets.select("grp", "tokens").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    out = np.zeros((1 << (CELL_BITS - SLICE_BITS), 1 << SLICE_BITS), np.uint16)
+    for r in summed.withColumn("s", F.shiftright("cell", SLICE_BITS)).groupBy("s").applyInArrow(pack, "s int, n binary").collect():  # 8 MB at most
+        out[r.s] = np.frombuffer(r.n, np.uint16)
+    return out.ravel()
+
+
+def narrowed(sets: DataFrame, groups: DataFrame, numerator: int, denominator: int) -> tuple[DataFrame, DataFrame]:
+    """sets and groups as ``links`` takes them, with each large group parted by tokens; the same links are found, some of them repeatedly.
+
+    Sets that link have at least numerator / denominator of either in common.
+    So, with the tokens of a group in one order, each has one of their common
+    tokens among its first, as many as may differ and one more (prefix
+    filtering).  The order is by how often a token occurs in the group, and
+    tokens that occur once there are no one's in common.  Set repeats go alike.
+    """
+    sized = _sized(sets.select("grp", "id", "weight", "tokens"), groups)
+    many = sized.filter("__n is not null").drop("__n")
+    shared = sets.sparkSession.sparkContext.broadcast(_counts(many))
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            flat, row, size = _listed(b)
+            grp = b.column("grp").to_numpy()
+            n = shared.value[_cells(grp[row], flat)]
+            by = np.lexsort((flat, n, row))
+            place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+            first = size - -(-size * numerator // denominator) + 1
+            pick = by[(place < first[row]) & (n[by] > 1)]
+            of = row[pick]
+            key = fmix(fmix(grp[of].view(np.uint64)) + fmix(flat[pick].view(np.uint64)))
+            for lo in range(0, len(of), b.num_rows or 1):  # no batch is longer than those that came
+                part = b.take(pa.array(of[lo : lo + b.num_rows]))
+                yield pa.record_batch([pa.array(key[lo : lo + b.num_rows].view(np.int64)), *[part.column(c) for c in ("id", "weight", "tokens")]], names=["grp", "id", "weight", "tokens"])
+
+    parts = many.mapInArrow(trimmed(keyed), "grp long, id long, weight long, tokens array<long>")
+    counted = many.mapInArrow(trimmed(keyed), "grp long, id long, weight long, tokens array<long>").select("grp")
+    return sized.filter("__n is null").drop("__n").unionByName(parts), counted
+
+
+def dealt(sets: DataFrame, groups: DataFrame) -> DataFrame:
+    """A row for each pair of blocks (i, j) of its group that a set goes to: all that hold its own (blk), or those that its ``meets`` names."""
+    sized = _sized(sets, groups)
     out = sized.withColumn("__k", F.coalesce(blocks_of(F.col("__n")), F.lit(1)))
     out = out.withColumn("__own", block_of(F.col("id"), F.col("__k")))
     others = F.sequence(F.lit(0), F.col("__k") - 1)

@@ -6,7 +6,8 @@ alike wherever it stands.  Lines and their pieces of ``MIN_WORDS`` words or
 more are compared by their sets of word shingles: equal sets form classes,
 classes meet in bands of MinHashes (tuned to a recall of ``RECALL`` at the
 threshold), ``_verify`` decides exact Jaccard inside the groups that meet,
-between sets of which another there has a size that allows the threshold.
+between sets of which another there has a size that allows the threshold; in
+large groups, between those that share a rare shingle which every link has.
 
 What goes, by place (doc_id, hash of the text, first byte):
 
@@ -40,7 +41,7 @@ from ._graph import connected_components
 from ._sieve import may_join
 from ._spark import cut, remove, written
 from ._text import _R, _R_INV, U64, Chunk, Seen, chunks, fmix, hash_ranges, powers, shingles_of, signed, spans, trimmed
-from ._verify import links
+from ._verify import links, narrowed
 from .ngram_join import _set_hashes
 
 REACH = 10
@@ -464,7 +465,9 @@ def repeated_paragraphs(docs: DataFrame, k: int = 5, num: int = 80, den: int = 1
     remove(docs.sparkSession, path)
     wanted = cut(sets.filter("grp is not null").groupBy("first.doc_id", "first.th").agg(F.collect_list(F.struct("hi", "lo", "grp")).alias("wanted")))
     texts = _with_wanted(docs, wanted).select("wanted", "text")
-    found = cut(links(texts.mapInArrow(_tokens(k), "grp long, id long, weight long, tokens array<long>"), sets.filter("grp is not null"), num, den).select("a", "b").filter("a != b"))
+    tokens, path = written(texts.mapInArrow(_tokens(k), "grp long, id long, weight long, tokens array<long>"))
+    found = cut(links(*narrowed(tokens, sets.filter("grp is not null"), num, den), num, den).select("a", "b").filter("a != b"))
+    remove(docs.sparkSession, path)
     component = connected_components(found).select(F.col("node").alias("hi"), "component")
     # a set that stands once and links with none decides nothing
     named = sets.join(component, "hi", "left").filter("n > 1 or component is not null").withColumn("component", F.coalesce("component", "hi"))
