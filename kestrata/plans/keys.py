@@ -83,7 +83,10 @@ def with_rank(df: DataFrame, key: Sequence[str], comparator: str, name: str = "r
     at = F.struct(*key)
     sample = df.select(at.alias("k")).orderBy(F.xxhash64(*key)).limit(32 * buckets)
     bounds = sample.orderBy("k").agg(F.sort_array(F.collect_set("k")).alias("s")).select(F.expr(f"transform(sequence(1, {buckets - 1}), i -> s[cast(i * size(s) div {buckets} as int)])").alias("__bounds"))
-    placed = df.crossJoin(F.broadcast(bounds)).withColumn("__bucket", F.size(F.filter("__bounds", lambda b: b <= at))).drop("__bounds")  # one row of bounds
+    # how many bounds a row is at or beyond, by halving steps: a handful of comparisons a row, however many buckets
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(buckets.bit_length()))])
+    beyond = F.aggregate(steps, F.lit(0), lambda n, step: F.when(F.get("__bounds", n + step - 1) <= at, n + step).otherwise(n))
+    placed = df.crossJoin(F.broadcast(bounds)).withColumn("__bucket", beyond).drop("__bounds")  # one row of bounds
     placed = placed.withColumn("__bucket", F.col("__bucket") if up else -F.col("__bucket"))
     counts = placed.groupBy("__bucket").agg(F.count("*").alias("__n"))
     counts = counts.withColumn("__before", F.sum("__n").over(Window.orderBy("__bucket")) - F.col("__n")).drop("__n")

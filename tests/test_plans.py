@@ -52,3 +52,18 @@ def test_ranks_by_buckets_of_whole_keys(spark):
     for comparator in ("ascending", "descending"):
         out = {(r.a, r.b): r.rn for r in with_rank(spark.createDataFrame(rows, "a string, b int").repartition(4), ["a", "b"], comparator, rows_per_bucket=60).collect()}
         assert out == {k: i + 1 for i, k in enumerate(sorted(rows, reverse=comparator == "descending"))}
+
+
+def test_ranks_find_a_bucket_by_halving(spark):
+    from kestrata.plans.keys import with_rank
+
+    rows = [(None if i % 50 == 0 else i * 7919 % 1000, i) for i in range(700)]
+    df = spark.createDataFrame(rows, "a long, b long")
+    for comparator in ("ascending", "descending"):
+        for per in (2, 100, 300):
+            out = with_rank(df, ["a", "b"], comparator, rows_per_bucket=per)
+            order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]), reverse=comparator == "descending")
+            assert [(r.a, r.b) for r in sorted(out.collect(), key=lambda r: r.rn)] == order
+            # a step for each power of two of buckets, not a comparison for each bound
+            plan = out._jdf.queryExecution().optimizedPlan().toString()
+            assert "filter(__bounds" not in plan and "aggregate([" in plan
