@@ -22,20 +22,21 @@ from ..spec import TableSpec
 FILTERS = ("sort_by", "start_ts", "end_ts", "max_postings")
 
 
-def postings(rows: DataFrame, spec: TableSpec, column: str, analyzer: Analyzer, ts: str | None = None, terms: list[str] | None = None) -> DataFrame:
-    """Key fields, term, freq, pos and ts (null without a time column) of every term, or of ``terms`` only."""
+def postings(rows: DataFrame, spec: TableSpec, column: str, analyzer: Analyzer, ts: str | None = None, terms: list[str] | None = None, more: tuple[str, ...] = ()) -> DataFrame:
+    """Key fields, term, freq, pos and ts (null without a time column) of every term, or of ``terms`` only; with the columns ``more`` of the rows."""
     stamp = F.col(ts) if ts else F.lit(None).cast("timestamp")
     tokens = analyze(F.col(column), analyzer)
     base = rows.where(F.col(column).isNotNull())
+    held = (*spec.key, *more)
     if terms is None:
-        base = base.select(*spec.key, stamp.alias("ts"), F.posexplode(tokens).alias("__at", "term"))
+        base = base.select(*held, stamp.alias("ts"), F.posexplode(tokens).alias("__at", "term"))
     else:
         placed = F.filter(F.transform(tokens, lambda t, i: F.struct(i.alias("at"), t.alias("term"))), lambda x: x.term.isin(terms))
-        base = base.select(*spec.key, stamp.alias("ts"), F.explode(placed).alias("__t")).select(*spec.key, "ts", F.col("__t.at").alias("__at"), "__t.term")
+        base = base.select(*held, stamp.alias("ts"), F.explode(placed).alias("__t")).select(*held, "ts", F.col("__t.at").alias("__at"), "__t.term")
     stats = analyzer.stats and not analyzer.exact
     freq, pos = (F.count("*").cast("long"), (F.min("__at") + 1).cast("long")) if stats else (F.lit(None).cast("long"), F.lit(None).cast("long"))
-    hits = base.groupBy(*spec.key, "ts", "term")
-    return hits.agg(freq.alias("freq"), pos.alias("pos")) if stats else hits.agg(F.count("*").alias("__n")).select(*spec.key, "ts", "term", freq.alias("freq"), pos.alias("pos"))
+    hits = base.groupBy(*held, "ts", "term")
+    return hits.agg(freq.alias("freq"), pos.alias("pos")) if stats else hits.agg(F.count("*").alias("__n")).select(*held, "ts", "term", freq.alias("freq"), pos.alias("pos"))
 
 
 def query_terms(rows: DataFrame, text: str, analyzer: Analyzer) -> list[str]:

@@ -41,6 +41,9 @@ HIDDEN = ("_ver", "_seq", "_op", "_write_ts", "_shard")
 FAN = 32  # commits in a row before they are merged
 SPREAD = 16  # files that a shard's part of a large commit may be dealt to
 INDEX_BUCKETS = 64
+PART_BYTES = 4 << 20  # of Parquet that a task of an index's making gets; its postings take some ten times that and more
+PART_ROWS = 500_000
+BUCKET_PARTS = 32  # tasks that share the files of a salt
 
 
 @dataclass(frozen=True)
@@ -171,9 +174,10 @@ class Store:
         on = {c: o for c, o in m.spec.index_on.items() if c in values} if op == PUT else {}
         if on:
             written = self.spark.read.parquet(target)
+            parts = self._parts([target], written)
             if not order_by:
-                written = current(written, m.spec.key, [F.desc("_seq")])
-            new = replace(new, index_files=(*m.index_files, self._write_index(new, written, on)))
+                written = current(written.repartition(parts, *m.spec.key), m.spec.key, [F.desc("_seq")])
+            new = replace(new, index_files=(*m.index_files, self._write_index(new, written, on, parts)))
         new = self.commit(new)
         return self._merged(new) if len(new.files) > FAN else new
 
@@ -242,25 +246,33 @@ class Store:
 
     # index
 
-    def _write_index(self, m: Manifest, rows: DataFrame, on: Mapping[str, Any]) -> str:
-        """Postings of the columns ``on`` of rows (with hidden columns), and where they are."""
+    def _parts(self, files: Sequence[str], rows: DataFrame) -> int:
+        """Tasks for an index over ``rows`` of these files, so that none gets more as the table grows."""
+        return max(1, -(-sum(map(self.size, files)) // PART_BYTES), -(-rows.count() // PART_ROWS))
+
+    def _write_index(self, m: Manifest, rows: DataFrame, on: Mapping[str, Any], parts: int) -> str:
+        """Postings of the columns ``on`` of rows (one a key, with hidden columns; dealt by key), and where they are."""
         every = None
         for c, options in on.items():
-            ver = rows.select(*m.spec.key, "_ver")
-            found = index.postings(rows, m.spec, c, Analyzer.of(options), "_write_ts").join(ver, list(m.spec.key)).withColumn("_column", F.lit(c))
+            found = index.postings(rows, m.spec, c, Analyzer.of(options), "_write_ts", more=("_ver",)).withColumn("_column", F.lit(c))
             every = found if every is None else every.unionByName(found)
-        return self._put_index(m, every)
+        return self._put_index(m, every, parts)
 
-    def _put_index(self, m: Manifest, postings: DataFrame) -> str:
+    def _put_index(self, m: Manifest, postings: DataFrame, parts: int) -> str:
+        """By column and bucket, sorted by term; of large tables, a bucket's postings are dealt to several tasks and files."""
         target = f"{self.home(m.spec.name)}/index/_commit={m.version:012d}"
         bucketed = postings.withColumn("_bucket", F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(INDEX_BUCKETS)).cast("int"))
-        bucketed.repartition("_column", "_bucket").sortWithinPartitions("_column", "_bucket", "term").write.partitionBy("_column", "_bucket").parquet(target)
+        salt = F.pmod(F.xxhash64(*m.spec.key), F.lit(-(-parts // BUCKET_PARTS)))
+        bucketed.repartition(parts, "_column", "_bucket", salt).sortWithinPartitions("_column", "_bucket", "term").write.partitionBy("_column", "_bucket").parquet(target)
         return target
 
     def backfilled(self, m: Manifest, on: Mapping[str, Any]) -> Manifest:
         """``m`` with postings of the columns ``on`` of all current rows."""
         own = {c: o for c, o in on.items() if c in m.spec.columns}
-        return replace(m, index_files=(*m.index_files, self._write_index(m, self.rows(m, hidden=True), own))) if own and m.files else m
+        if not own or not m.files:
+            return m
+        parts = self._parts(m.files, self.log(m))
+        return replace(m, index_files=(*m.index_files, self._write_index(m, self.rows(m, hidden=True).repartition(parts, *m.spec.key), own, parts)))
 
     def postings(self, m: Manifest, terms: Mapping[str, Sequence[str]] | None = None) -> DataFrame | None:
         """Stored postings (key, ts, term, freq, pos, _column) of current rows; with ``terms`` by column, only their buckets are read."""
@@ -275,11 +287,15 @@ class Store:
                 buckets = [zlib.crc32(t.encode()) % INDEX_BUCKETS for t in terms[c]]
                 own &= F.col("_bucket").isin(buckets) & F.col("term").isin(list(terms[c]))
             where |= own
-        found = found.where(where).drop("_bucket").distinct()  # a column indexed anew may have its postings twice
-        # the versions of the keys found, from the log's key columns alone
         key = list(m.spec.key)
-        log = self.log(m).select(*key, "_ver", "_seq", "_op", "_write_ts", "_shard")
-        own = log.join(found.select(*key).distinct(), key, "left_semi")
+        found = found.where(where).drop("_bucket")
+        if terms is None:  # all postings meet their rows in tasks of bounded size
+            found = found.repartition(self._parts(m.index_files, self.log(m)), *key, "_ver")
+        found = found.distinct()  # a column indexed anew may have its postings twice
+        # the versions of the keys found, from the log's key columns alone
+        own = self.log(m).select(*key, "_ver", "_seq", "_op", "_write_ts", "_shard")
+        if terms is not None:
+            own = own.join(found.select(*key).distinct(), key, "left_semi")
         own = current(own, key, [F.desc("_ver"), F.desc("_seq")])
         if m.spec.ttl is not None or m.spec.fifo_ttl is not None:
             own = live(own, "_write_ts", m.spec.ttl if m.spec.ttl is not None else m.spec.fifo_ttl[0], F.current_timestamp())
@@ -288,7 +304,7 @@ class Store:
     def _index_merged(self, m: Manifest) -> Manifest:
         """``m`` with one index file, without postings of rows or columns that are gone."""
         found = self.postings(m) if len(m.index_files) > 1 else None
-        return m if found is None else replace(m, index_files=(self._put_index(m, found),))
+        return m if found is None else replace(m, index_files=(self._put_index(m, found, self._parts(m.index_files, self.log(m))),))
 
     # copies
 
