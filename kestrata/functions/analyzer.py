@@ -6,12 +6,13 @@ functions.  Every step also takes a function from Column to Column.
 
 from __future__ import annotations
 
+import ctypes
 import unicodedata
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,6 +26,7 @@ LUCENE_STOPWORDS = (
     "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with"
 ).split()
 
+PART_BYTES = 1 << 20
 Step = str | Callable[[Column], Column] | None
 
 
@@ -63,23 +65,52 @@ def _many(x: Any) -> tuple[Any, ...]:
     return tuple(x) if isinstance(x, (list, tuple)) and not isinstance(x, str) else (x,)
 
 
+def _parts(s: pa.Array) -> Iterator[pa.Array]:
+    """Parts of a batch of some ``PART_BYTES``: Python strings take several times the bytes of an Arrow batch."""
+    rows = max(1, len(s) * PART_BYTES // max(1, s.nbytes))
+    return (s.slice(lo, rows) for lo in range(0, len(s), rows))
+
+
+def _in_parts(work: Callable[[pa.Array], Iterator[pa.Array]], kind: str) -> Callable[[Column], Column]:
+    """An Arrow function that holds the strings of one part at a time; the worker then gives back what it freed."""
+
+    @F.arrow_udf(kind)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for s in batches:
+            done = list(work(s))
+            yield pa.concat_arrays(done) if done else pa.array([], s.type)
+        pa.default_memory_pool().release_unused()
+        _trim()
+
+    return run.asNondeterministic()  # a filter on the result would else be moved below it, and a second worker do all again
+
+
+def _trim() -> None:
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps or gives back as it will
+        pass
+
+
 def normalize(text: Column, form: str) -> Column:
     if form not in NORMAL_FORMS:
         raise TableError((form, "invalid_char_filter"))
 
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: x if x is None else unicodedata.normalize(form.upper(), x))
+    def work(s: pa.Array) -> Iterator[pa.Array]:
+        for part in _parts(s):
+            yield pa.array([x if x is None else unicodedata.normalize(form.upper(), x) for x in part.to_pylist()], pa.string())
 
-    return run(text)
+    # ASCII is its own normal form and stays in the JVM
+    ascii_ = F.char_length(text) == F.octet_length(text)
+    return F.when(ascii_, text).otherwise(_in_parts(work, "string")(F.when(~ascii_, text)))
 
 
 def casefold(tokens: Column) -> Column:
-    @F.pandas_udf("array<string>")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: x if x is None else [t.casefold() for t in x])
+    def work(s: pa.Array) -> Iterator[pa.Array]:
+        for part in _parts(s):
+            yield pa.array([x if x is None else [t if t is None else t.casefold() for t in x] for x in part.to_pylist()], pa.list_(pa.string()))
 
-    return run(tokens)
+    return _in_parts(work, "array<string>")(tokens)
 
 
 def tokenize(text: Column, tokenizer: Step) -> Column:

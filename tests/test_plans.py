@@ -67,3 +67,22 @@ def test_ranks_find_a_bucket_by_halving(spark):
             # a step for each power of two of buckets, not a comparison for each bound
             plan = out._jdf.queryExecution().optimizedPlan().toString()
             assert "filter(__bounds" not in plan and "aggregate([" in plan
+
+
+def test_texts_are_normalised_once_and_ascii_not_at_all(spark, sf_dir):
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from kestrata.functions.analyzer import Analyzer, analyze, normalize, _parts
+    from kestrata.operators import index
+    from kestrata.spec import make_spec
+
+    assert plan(QUERIES["analyzer_tokens"](spark, sf_dir)).count("ArrowEvalPython") == 1
+    df = spark.createDataFrame([(1, "Café STRASSE"), (2, "plain"), (3, None), (4, "Straße"), (5, "")], "k long, t string")
+    assert [r.n for r in df.select("k", normalize(F.col("t"), "nfc").alias("n")).sort("k").collect()] == ["Café STRASSE", "plain", None, "Straße", ""]
+    a = Analyzer.of({"char_filter": "nfc", "token_filter": {"transform": "casefold"}})
+    assert [r.n for r in df.select("k", analyze(F.col("t"), a).alias("n")).sort("k").collect()] == [["café", "strasse"], ["plain"], None, ["strasse"], []]
+    for terms in (None, ["strasse"]):
+        found = index.postings(df, make_spec("d", ["k"]), "t", a, terms=terms)
+        assert {(r.k, r.freq) for r in found.where("term = 'strasse'").collect()} == {(1, 1), (4, 1)}
+    assert sum(len(p) for p in _parts(pa.array(["x" * 100_000] * 50))) == 50 and max(p.nbytes for p in _parts(pa.array(["x" * 100_000] * 50))) <= 1 << 20
